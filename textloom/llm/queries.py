@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, token_counts, token_ids
+from . import decontamination, simhash, token_counts, token_ids
 from .common import read, scratch
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "op2")
     files = token_ids.write_token_files(read(spark, sf_dir, "documents", "doc_id", "text"), folder, tokenizer("word_bpe_49k.json"), end_id=2)
@@ -31,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op5_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
