@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language, quality, simhash, token_counts, token_ids
+from . import chat, decontamination, html_text, language, packing, quality, simhash, sketches, token_counts, token_ids
 from .common import id_remainder, read, scratch
 
 
@@ -34,6 +34,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "distance")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -45,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -61,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_language, op5_decontamination, op6_quality, op8_chat, op9_html, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_language, op4_packing, op5_decontamination, op6_quality, op7_sketches, op8_chat, op9_html, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
