@@ -1,8 +1,10 @@
 """Packing token sequences by column generation for the cutting-stock problem.
 
-A document's ids, with an end id, are cut at every `size` ids: whole pieces are sequences of their own, and what is
-left is an item. Items are counted by length class (STEP ids wide) over all documents; from that histogram, whose size
-does not depend on the input, the driver finds patterns: a linear program over patterns of classes that fit a sequence,
+A document's ids, with an end id, are cut at every `size` ids: whole pieces are sequences of their own. What is left
+is cut once more, into an item whose length is a multiple of STEP and a tail shorter than STEP; items fill sequences
+with items, tails with tails, so that a length class holds one length only and no room is lost to rounding. Items are
+counted by class over all documents; from that histogram, whose size does not depend on the input, the driver finds
+patterns, for items and for tails: a linear program over patterns of classes that fit a sequence,
 whose columns are priced by an unbounded knapsack solved by dynamic programming, and its solution rounded down, with
 the few items left over packed first-fit by falling class. Items are ranked within their class across all tasks, by
 counts of buckets added up before a rank inside the bucket, so that no task sees a whole class; a rank gives the
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions
 from .token_ids import encoded
 
-SIZE, STEP = 1024, 4
+SIZE, STEP = 1024, 32
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, step: int = STEP) -> DataFrame:
     """The cut pieces of every document; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,8 +46,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), tokenizer), strict=True):
                 ids += end
                 n = len(ids) // 4
-                for first in range(0, n, size):
-                    rows.append((doc_id, first, min(size, n - first), zlib.crc32(ids[4 * first : 4 * (first + size)]), n))
+                cuts = [*range(0, n - n % size + 1, size), n - n % step, n]
+                for first, last in pairwise(cuts):
+                    if last > first:
+                        rows.append((doc_id, first, last - first, zlib.crc32(ids[4 * first : 4 * last]), n))
             yield batch_of(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE)
@@ -138,16 +143,18 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, step: int = STEP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    length_class = F.ceil(F.col("length") / step).cast("int")  # a whole piece has a class of its own
+    # classes: 0 whole pieces, below `step` tails by length, from `step` on items by length
+    length_class = F.when(F.col("length") == size, F.lit(0)).otherwise(F.col("length")).cast("int")
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shuffle_partitions(spark))).cast("int")
-    cut = pieces(docs, tokenizer, end_id, size).withColumns({"class": F.when(F.col("length") == size, F.lit(0)).otherwise(length_class), "bucket": bucket})
+    cut = pieces(docs, tokenizer, end_id, size, step).withColumns({"class": length_class, "bucket": bucket})
     cut = materialise(cut, "pieces")
     counts = cut.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.select("class", "bucket", "n", before.alias("before")), "offsets")
     demand = {row[0]: row.n for row in offsets.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     whole = demand.pop(0, 0)
-    plan = plan_patterns(demand, size // step)
+    plan = [(n, {c * step: k for c, k in pattern.items()}) for n, pattern in plan_patterns({c // step: n for c, n in demand.items() if c >= step}, size // step)]
+    plan += plan_patterns({c: n for c, n in demand.items() if c < step}, size)
 
     own = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.join(offsets.drop("n"), ["class", "bucket"]).withColumn("rank", F.col("before") + own)

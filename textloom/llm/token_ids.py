@@ -37,18 +37,21 @@ MAGIC = b"TLOOMPF1"
 #: White space as the tokenizers' patterns know it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: A word of Latin letters with punctuation behind it: always two or more words to the tokenizers' patterns.
+_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.;:!?]*)")
 _MIXED = re.compile(f" [{_SPACE}]|^ | \\Z")
 
 
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.folds = self.library.normalizer is not None and self.library.normalizer.normalize_str("A\u00c9") == "a\u00e9"
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -63,13 +66,27 @@ class PieceEncoder:
         split = [self.pieces(text) if text else [] for text in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = set().union(*split)
-        new = [piece for piece in new if piece not in self.known]
-        for piece, encoding in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        self._learn([piece for piece in set().union(*split) if piece not in self.known])
         of = self.known.__getitem__
         return [b"".join(map(of, pieces)) for pieces in split]
 
+    def _learn(self, new: list[str]) -> None:
+        """Have the library encode pieces; of a word with punctuation behind it, both parts, each once."""
+        parts: dict[str, tuple[str, str]] = {}
+        for piece in new:
+            found = _WORD.fullmatch(piece)
+            if found:
+                word, tail = found.groups()
+                word = word.lower() if self.folds else word
+                if word != piece:
+                    parts[piece] = word, tail
+        need = [piece for piece in new if piece not in parts]
+        need += {part for both in parts.values() for part in both if part and part not in self.known}.difference(need)
+        for piece, encoding in zip(need, self.library.encode_batch_fast(need, add_special_tokens=False), strict=True):
+            self.known[piece] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+        for piece, (word, tail) in parts.items():
+            self.known[piece] = self.known[word] + (self.known[tail] if tail else b"")
+
 
 _encoders: dict[str, PieceEncoder] = {}
 
