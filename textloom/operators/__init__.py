@@ -1,0 +1 @@
+"""Relational operators over pages, units, ledgers and snapshots."""

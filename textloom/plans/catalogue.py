@@ -1,9 +1,542 @@
-"""The engine's own queries and their SQL."""
+"""The engine's own queries over the driver's tables, and their SQL.
 
+Each entry applies one operator, or a few that belong together, to whole tables."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import globs
+from textloom.functions import text as T
+from textloom.operators import duplicates, ledgers, report, retrieval, sections, selection, snapshots, usage
+from textloom.plans import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+# The stopwords of the tokeniser, as a SQL list.
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+#: SQL for the tokens of {0}: plain ones, then compounds.
+_TOKENS = (
+    "list_concat(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: NOT list_contains(" + STOP + ", t)), "
+    "list_transform(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z0-9./_-]+'), lambda r: regexp_replace(regexp_replace(r, '^[./_-]+', ''), '[./_-]+$', '')), "
+    "lambda r: regexp_matches(r, '[./_-]')), lambda r: lower(regexp_replace(r, '[./_-]', '', 'g'))))"
+)
+
+
+def tokens_sql(column: str) -> str:
+    return _TOKENS.format(column)
+
+
+def key_sql(column: str) -> str:
+    return f"array_to_string({tokens_sql(column)}, ' ')"
+
+
+def index_sql(column: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({column}, '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"
+
+
+# --- pages and text -------------------------------------------------------------------------------------------------
+
+
+@query(_with(A.PAGES) + "SELECT id, source, path, title, heading, priority, sha256 FROM pages")
+def page_scan(spark, sf):
+    return A.pages(spark, sf).select("id", "source", "path", "title", "heading", "priority", "sha256")
+
+
+@query("SELECT page_id, sha256(html) AS sha256, length(html) AS n FROM pages")
+def content_sha256(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", T.sha256_hex(F.col("html")).alias("sha256"), F.char_length("html").cast("long").alias("n"))
+
+
+@query(r"SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '^\n+', ''), '\n+$', '')) AS cleaned FROM pages")
+def clean_content(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", F.sha2(T.clean_content(F.col("html")), 256).alias("cleaned"))
+
+
+@query("SELECT page_id, sha256(" + index_sql("html") + ") AS indexed FROM pages")
+def index_text(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", F.sha2(T.index_text(F.col("html")), 256).alias("indexed"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 60), ' ') AS excerpt FROM documents""")
+def excerpt_words(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), 60).alias("excerpt"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(trim(substring(l, 3)), '#+$', '')), ''), '') AS title FROM (SELECT doc_id, '# ' || split_part(text, chr(10), 1) || ' ##' AS l FROM documents)")
+def first_title(spark, sf):
+    marked = F.concat(F.lit("intro\n```\n# fenced\n```\n# "), F.get(F.split("text", "\n"), F.lit(0)), F.lit(" ##\nmore"))
+    return A.table(spark, sf, "documents").select("doc_id", T.title_of(F.lit(""), marked).alias("title"))
+
+
+@query("SELECT doc_id, 'Title ' || doc_id AS title, sha256(text) AS body FROM documents")
+def front_matter(spark, sf):
+    docs = A.table(spark, sf, "documents")
+    whole = F.concat(F.lit("---\nkind: x\ntitle:\ntitle: \"Title "), F.col("doc_id").cast("string"), F.lit("\"\n---  \n"), "text")
+    return docs.select("doc_id", T.front_matter_title(whole).alias("title"), F.sha2(T.strip_front_matter(whole), 256).alias("body"))
+
+
+@query(f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n, sha256({key_sql('text')}) AS tokens FROM documents")
+def tokenize_counts(spark, sf):
+    docs = A.table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
+
+
+@query(
+    "SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9./_-]+'), lambda r: regexp_replace(regexp_replace(r, '^[./_-]+', ''), '[./_-]+$', '')), "
+    "lambda r: regexp_matches(r, '[./_-]')), lambda r: lower(regexp_replace(r, '[./_-]', '', 'g')))) AS t FROM documents) GROUP BY t"
+)
+def compound_tokens(spark, sf):
+    docs = A.table(spark, sf, "documents")
+    return docs.select(F.explode(T.compound_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(_with(A.PAGES) + f"SELECT k AS title_key, count(*) AS n FROM (SELECT {key_sql('title')} AS k FROM pages) GROUP BY k")
+def title_keys(spark, sf):
+    return A.pages(spark, sf).groupBy(T.title_key(F.col("title")).alias("title_key")).agg(F.count("*").alias("n"))
+
+
+_SECTION = "['Known Issues', 'Release Guide', 'How To', 'CLI Reference', 'Ideas', 'FAQ API', 'What''s new', 'Quickstart', ''][CAST(doc_id % 9 + 1 AS INTEGER)]"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN regexp_matches(s, 'troubleshoot|faq|known issue|debugging') THEN 'troubleshooting' WHEN regexp_matches(s, 'release|changelog|change log|what''s new|whats new') THEN 'release-notes' "
+    f"WHEN regexp_matches(s, 'tutorial|getting started|quickstart|quick start|how to|howto|guide') THEN 'tutorial' WHEN regexp_matches(s, 'reference|api|cli|configuration|schema|specification') THEN 'reference' ELSE 'concept' END AS doc_type FROM (SELECT doc_id, lower({_SECTION}) AS s FROM documents)"
+)
+def doc_type_cascade(spark, sf):
+    names = ["Known Issues", "Release Guide", "How To", "CLI Reference", "Ideas", "FAQ API", "What's new", "Quickstart", ""]
+    section = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return A.table(spark, sf, "documents").select("doc_id", T.doc_type_of_section(section).alias("doc_type"))
+
+
+GLOBS = ["docs/1*.md", "**/2?.md", "docs/{3,4}[0-5]*.md", "other/**"]
+
+
+@query(
+    _with(A.PAGES)
+    + "SELECT id, CASE "
+    + " ".join(f"WHEN regexp_matches(path, '{globs.to_regex(g)}') THEN '{g}'" for g in GLOBS)
+    + " END AS pattern FROM pages WHERE "
+    + " OR ".join(f"regexp_matches(path, '{globs.to_regex(g)}')" for g in GLOBS)
+)
+def glob_select(spark, sf):
+    found = A.pages(spark, sf).where(globs.matches(F.col("path"), GLOBS))
+    return found.select("id", globs.first_match(F.col("path"), GLOBS).alias("pattern"))
+
+
+@query(
+    _with(A.PAGES)
+    + """, links AS (SELECT source, doc_id, 'docs/' || (doc_id + 20) AS target FROM pages)
+SELECT l.source, doc_id, target || '.md' AS target, p.path IS NOT NULL AS resolved FROM links l LEFT JOIN (SELECT source, path FROM pages) p ON p.source = l.source AND p.path = l.target || '.md'"""
+)
+def link_resolution(spark, sf):
+    pages = A.pages(spark, sf)
+    links = pages.select("source", "doc_id", F.lit("docs/sub").alias("base"), F.concat(F.lit("./../"), (F.col("doc_id") + 20).cast("string"), F.lit("?x=1#y")).alias("link"))
+    found = selection.resolve_links(links, pages.select("source", "path"))
+    return found.select("source", "doc_id", "target", "resolved")
+
+
+# --- sections -------------------------------------------------------------------------------------------------------
+
+_SECTIONS = (
+    _with(A.PAGES, A.MARKDOWN)
+    + r""", idx AS (SELECT id, title, i, """
+    + index_sql("line")
+    + r""" AS line FROM md_lines),
+f AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) % 2 = 1 AS open FROM idx),
+h AS (SELECT *, CASE WHEN NOT open THEN nullif(regexp_extract(line, '^##\s+(.+?)\s*#*\s*$', 1), '') END AS t FROM f),
+p AS (SELECT *, sum(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS part FROM h),
+g AS (SELECT id, title, part, coalesce(max(t), '') AS heading, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE t IS NULL), '') AS body FROM p GROUP BY id, title, part),
+k AS (SELECT * FROM g WHERE heading <> '' OR regexp_matches(body, '\S')),
+u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part) - 1 AS ordinal FROM k)
+"""
+)
+
+
+@query(_SECTIONS + "SELECT id, CAST(ordinal AS INTEGER) AS ordinal, heading, sha256(body) AS body FROM u")
+def section_split(spark, sf):
+    cut = sections.split_sections(A.markdown_pages(spark, sf).select("id", "content"), most=1 << 30)
+    return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), "heading", F.sha2("body", 256).alias("body"))
+
+
+@query()
+def section_split_h3(spark, sf):
+    cut = sections.split_sections(A.markdown_pages(spark, sf).select("id", "content"), most=40)
+    return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), "heading", F.sha2("body", 256).alias("body"))
+
+
+@query(
+    _SECTIONS
+    + "SELECT id || '#' || ordinal AS id, id AS page, heading, CAST(ordinal AS INTEGER) AS ordinal, sha256(CASE WHEN heading = '' THEN title || chr(10) || chr(10) || body ELSE title || chr(10) || heading || chr(10) || chr(10) || body END) AS sha256 FROM u"
+)
+def chunks(spark, sf):
+    short = A.markdown_pages(spark, sf).select("id", "title", "content", "mirror_of")
+    return sections.chunks(short).select("id", "page", "heading", F.col("ordinal").cast("int").alias("ordinal"), "sha256")
+
+
+_SHINGLED = f"""toks AS (SELECT id, doc_id, {tokens_sql(index_sql('content'))} AS t FROM pages),
+sh AS (SELECT DISTINCT id, s FROM (SELECT id, CASE WHEN len(t) < 5 THEN array_to_string(t, ' ') ELSE array_to_string(list_slice(t, i, i + 4), ' ') END AS s
+  FROM (SELECT id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM toks WHERE len(t) > 0)))"""
+
+
+@query(_with(A.PAGES, _SHINGLED) + "SELECT id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM sh GROUP BY id")
+def shingles(spark, sf):
+    made = A.pages(spark, sf).select("id", duplicates.shingles(T.tokens(T.index_text(F.col("content")))).alias("s")).where(F.size("s") > 0)
+    return made.select("id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------------
+
+_MIRRORS = f"""keyed AS (SELECT id, source, path, priority, pos, key FROM (SELECT id, source, path, priority, unnest([0, 1]) AS pos, unnest([title, heading]) AS text FROM pages), LATERAL (SELECT {key_sql('text')} AS key) WHERE text <> ''),
+best AS (SELECT key, arg_min(id, (-priority, source, string_split(path, '/'))) AS best_id, max(priority) AS best_priority FROM keyed GROUP BY key),
+mirrors AS (SELECT id, arg_min(best_id, pos) AS mirror_of FROM keyed JOIN best USING (key) WHERE best_priority > priority GROUP BY id)"""
+
+
+@query(_with(A.PAGES, _MIRRORS) + "SELECT id, mirror_of FROM mirrors")
+def mirror_rule(spark, sf):
+    return retrieval.mark_mirrors(A.pages(spark, sf)).where("mirror_of IS NOT NULL").select("id", "mirror_of")
+
+
+def _index(spark, sf, derived: bool = False) -> retrieval.Index:
+    pages = retrieval.mark_mirrors(A.pages(spark, sf))
+    more = pages.where("doc_id % 4 = 0").select(F.col("id").alias("page_id"), F.concat(F.lit("what about "), "heading").alias("text")) if derived else None
+    return retrieval.build(pages, more)
+
+
+def _bm25(derived: str = "") -> str:
+    return (
+        _with(A.PAGES, _MIRRORS)
+        + f""", searchable AS (SELECT * FROM pages WHERE id NOT IN (SELECT id FROM mirrors)),
+units AS (SELECT id AS unit, id AS page, 0 AS ordinal, {tokens_sql('title')} AS tt, {tokens_sql(index_sql('content'))} AS bt FROM searchable {derived}),
+lens AS (SELECT unit, page, ordinal, 3 * len(tt) + len(bt) AS l FROM units),
+post AS (SELECT term, unit, sum(w) AS tf FROM (SELECT unit, unnest(tt) AS term, 3 AS w FROM units UNION ALL SELECT unit, unnest(bt), 1 FROM units) GROUP BY term, unit),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+st AS (SELECT count(*) AS n, avg(l) AS avgdl FROM lens),
+rw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+av AS (SELECT avg(raw) AS avg_idf FROM rw),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM rw, av),
+q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+us AS (SELECT query_id, unit, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))) AS score FROM q JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (unit), st GROUP BY query_id, unit),
+ps AS (SELECT query_id, page, max(round(score, 9)) AS score, count(*) AS matched FROM us JOIN lens USING (unit) GROUP BY query_id, page),
+tot AS (SELECT page, count(*) AS total FROM lens GROUP BY page),
+hits AS (SELECT query_id, page, CASE WHEN matched < total AND score < 0 THEN 0 ELSE score END AS score, s.source, s.path, s.title, s.module FROM ps JOIN tot USING (page) JOIN searchable s ON s.id = page)"""
+    )
+
+
+_TOP = f""", once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(nullif({key_sql('title')}, ''), chr(10) || page) ORDER BY score DESC, source, string_split(path, '/')) = 1),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, string_split(path, '/')) AS rank, page, score FROM once)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, page AS page_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+
+
+@query(_bm25() + "SELECT n, CAST(round(avgdl, 6) AS DOUBLE) AS avgdl, round(avg_idf, 9) AS avg_idf, (SELECT count(*) FROM df) AS terms FROM st, av")
+def bm25_stats(spark, sf):
+    index = _index(spark, sf)
+    terms = index.terms.agg(F.count("*").alias("terms"))
+    return index.stats.crossJoin(F.broadcast(terms)).select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 9).alias("avg_idf"), "terms")
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", "page_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25() + _TOP)
+def bm25_topk(spark, sf):
+    return _rows(retrieval.search(_index(spark, sf), A.queries(spark, sf)))
+
+
+@query(_bm25() + _TOP.replace("FROM hits QUALIFY", "FROM (SELECT * FROM hits WHERE module = 'src3' OR query_id NOT IN (SELECT query_id FROM hits WHERE module = 'src3')) QUALIFY"))
+def bm25_module(spark, sf):
+    return _rows(retrieval.search(_index(spark, sf), A.queries(spark, sf), module="SRC3"))
+
+
+@query(_bm25() + ", once AS (SELECT * FROM hits)" + _TOP[_TOP.index("),\nranked") + 1 :])
+def bm25_no_dedupe(spark, sf):
+    return _rows(retrieval.search(_index(spark, sf), A.queries(spark, sf), dedupe=False))
+
+
+@query(_bm25(f"UNION ALL SELECT id || '#derived', id, 1, [], {tokens_sql(chr(39) + 'what about ' + chr(39) + ' || heading')} FROM searchable WHERE doc_id % 4 = 0") + _TOP)
+def bm25_derived(spark, sf):
+    return _rows(retrieval.search(_index(spark, sf, derived=True), A.queries(spark, sf)))
+
+
+# --- duplicates -----------------------------------------------------------------------------------------------------
+
+_FACTS = """facts AS (SELECT id, priority, selected_by, CASE selected_by WHEN 'resolver' THEN 2 WHEN 'decision' THEN 1 ELSE 0 END AS r FROM pages)"""
+_NEAR = """sz AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+near AS (SELECT a, b, i / (x.n + y.n - i) AS similarity FROM (SELECT s1.id AS a, s2.id AS b, count(*) AS i FROM sh s1 JOIN sh s2 ON s1.s = s2.s AND s1.id < s2.id GROUP BY 1, 2) JOIN sz x ON x.id = a JOIN sz y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.8)"""
+_EXACT = "exact AS (SELECT x.id AS a, y.id AS b, 1.0 AS similarity FROM pages x JOIN pages y ON x.sha256 = y.sha256 AND x.id < y.id)"
+_MIRROR_PAIRS = f"""mk AS (SELECT id, {key_sql("coalesce(nullif(title, ''), heading)")} AS key FROM pages),
+inter AS (SELECT a, b, i FROM (SELECT s1.id AS a, s2.id AS b, count(*) AS i FROM sh s1 JOIN sh s2 ON s1.s = s2.s AND s1.id < s2.id GROUP BY 1, 2)),
+mirror AS (SELECT x.id AS a, y.id AS b, coalesce(i, 0) / (coalesce(p.n, 0) + coalesce(q.n, 0) - coalesce(i, 0)) AS similarity FROM mk x JOIN mk y ON x.key = y.key AND x.id < y.id AND x.key <> ''
+  LEFT JOIN inter ON a = x.id AND b = y.id LEFT JOIN sz p ON p.id = x.id LEFT JOIN sz q ON q.id = y.id)"""
+_PAIRS = """allp AS (SELECT a, b, similarity, 0 AS k, 'exact' AS kind FROM exact UNION ALL SELECT a, b, similarity, 1, 'mirror' FROM mirror UNION ALL SELECT a, b, similarity, 2, 'near' FROM near),
+onep AS (SELECT * FROM allp QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY k) = 1),
+judged AS (SELECT kind, round(similarity, 6) AS similarity, CASE WHEN w THEN a ELSE b END AS canonical, CASE WHEN w THEN b ELSE a END AS duplicate, why, suggested FROM (
+  SELECT o.*, CASE WHEN x.priority <> y.priority THEN x.priority > y.priority WHEN x.r <> y.r THEN x.r > y.r ELSE TRUE END AS w,
+    CASE WHEN x.priority <> y.priority THEN 'priority ' || greatest(x.priority, y.priority) || ' > ' || least(x.priority, y.priority)
+      WHEN x.r <> y.r THEN CASE WHEN x.r > y.r THEN x.selected_by || ' beats ' || y.selected_by ELSE y.selected_by || ' beats ' || x.selected_by END
+      ELSE 'priority and selected_by tie; ' || a || ' sorts first' END AS why,
+    CASE WHEN x.priority <> y.priority OR x.r <> y.r THEN 'exclude' ELSE 'review' END AS suggested FROM onep o JOIN facts x ON x.id = a JOIN facts y ON y.id = b))"""
+_DUPLICATES = _with(A.PAGES, _SHINGLED, _FACTS, _NEAR, _EXACT, _MIRROR_PAIRS, _PAIRS)
+
+
+@query(_with(A.PAGES, _EXACT) + "SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM exact")
+def exact_dups(spark, sf):
+    p = A.pages(spark, sf).select("id", "sha256")
+    return p.alias("x").join(p.alias("y"), F.expr("x.sha256 = y.sha256 AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
+
+
+@query(_with(A.PAGES, _SHINGLED, _NEAR) + "SELECT a, b, round(similarity, 6) AS similarity FROM near")
+def near_dups(spark, sf):
+    sets = duplicates.with_shingles(A.pages(spark, sf)).select("id", "shingles")
+    return duplicates.near_pairs(sets).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def near_dups_lsh(spark, sf):
+    sets = duplicates.with_shingles(A.pages(spark, sf)).select("id", "shingles")
+    return duplicates.near_pairs_lsh(sets).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_DUPLICATES + "SELECT kind, CAST(similarity AS DOUBLE) AS similarity, canonical, duplicate, why, suggested FROM judged")
+def dup_winner(spark, sf):
+    return duplicates.find(A.pages(spark, sf)).select("kind", F.round("similarity", 6).alias("similarity"), "canonical", "duplicate", "why", "suggested")
+
+
+@query(_DUPLICATES + "SELECT kind, count(*) AS n FROM judged GROUP BY kind")
+def dup_by_kind(spark, sf):
+    return duplicates.by_kind(duplicates.find(A.pages(spark, sf)))
+
+
+# --- ledgers and selection ------------------------------------------------------------------------------------------
+
+_LEDGER = _with(A.PAGES, A.RESIDUE, A.DECISIONS)
+
+
+@query(_LEDGER + "SELECT id, decision, sha256, line_no FROM effective")
+def decisions_effective(spark, sf):
+    return ledgers.effective(A.decisions(spark, sf)).select("id", "decision", "sha256", "line_no")
+
+
+@query(_LEDGER + ", cur AS (SELECT * FROM pages WHERE doc_id % 13 <> 5) SELECT e.id, decision, CASE WHEN c.id IS NULL THEN 'gone' ELSE 'changed' END AS why FROM effective e LEFT JOIN cur c ON c.id = e.id WHERE c.id IS NULL OR c.sha256 <> e.sha256")
+def decisions_expired(spark, sf):
+    return ledgers.expired(A.decisions(spark, sf), A.pages(spark, sf).where("doc_id % 13 <> 5")).select("id", "decision", "why")
+
+
+@query(_LEDGER + "SELECT r.id, r.reason FROM residue r WHERE r.reason <> 'excluded' AND NOT EXISTS (SELECT 1 FROM effective e WHERE e.id = r.id AND e.sha256 = r.sha256)")
+def residue_undecided(spark, sf):
+    return ledgers.undecided(A.residue(spark, sf), A.decisions(spark, sf)).select("id", "reason")
+
+
+@query(_LEDGER + "SELECT DISTINCT r.id FROM residue r JOIN effective e ON e.id = r.id AND e.sha256 = r.sha256 WHERE e.decision = 'exclude'")
+def active_excludes(spark, sf):
+    return ledgers.active_excludes(A.residue(spark, sf), A.decisions(spark, sf))
+
+
+@query(_LEDGER + "SELECT r.id FROM residue r WHERE r.reason <> 'excluded' AND NOT EXISTS (SELECT 1 FROM effective e WHERE e.id = r.id AND e.sha256 = r.sha256) AND r.doc_id % 4 <> 1")
+def new_residue(spark, sf):
+    before = A.pages(spark, sf).where("doc_id % 4 = 1").select("id")
+    return ledgers.new_residue(A.residue(spark, sf), A.decisions(spark, sf), before).select("id")
+
+
+@query(_LEDGER + "SELECT coalesce('because of ' || rule_key, 'no rule recorded') AS rule_text, coalesce(rule_key, 'unknown') AS rule_key, count(*) AS n, min(id) AS first_id FROM residue GROUP BY ALL")
+def residue_by_rule(spark, sf):
+    return ledgers.by_rule(A.residue(spark, sf)).select("rule_text", "rule_key", "n", F.get("ids", F.lit(0)).alias("first_id"))
+
+
+@query(_LEDGER + "SELECT id, source, path, title, 'selected' AS status FROM pages WHERE doc_id % 3 <> 0 UNION ALL SELECT id, source, path, title, 'residue' FROM residue")
+def registry_union(spark, sf):
+    found = ledgers.registry(A.pages(spark, sf).where("doc_id % 3 <> 0"), A.residue(spark, sf))
+    return found.select("id", "source", "path", "title", "status")
+
+
+_DENY, _EXCLUDE = ["**/1?.md", "docs/9*"], ["docs/*7.md"]
+
+
+@query(
+    _LEDGER
+    + f""", m AS (SELECT p.id, {' OR '.join(f"regexp_matches(path, '{globs.to_regex(g)}')" for g in _DENY)} AS denied, {' OR '.join(f"regexp_matches(path, '{globs.to_regex(g)}')" for g in _EXCLUDE)} AS excluded,
+  e.decision AS verdict, doc_id % 2 = 0 AS selected, doc_id % 11 = 0 AS fresh, CASE WHEN doc_id % 4 = 0 THEN 'include' ELSE 'resolver' END AS by FROM pages p LEFT JOIN effective e ON e.id = p.id AND e.sha256 = p.sha256),
+o AS (SELECT *, CASE WHEN denied THEN 'denied' WHEN excluded THEN 'excluded' WHEN verdict = 'include' THEN 'selected:decision' WHEN verdict = 'exclude' THEN 'residue:decision' WHEN selected THEN 'selected:' || by ELSE 'residue:not_selected' END AS outcome FROM m)
+SELECT id, outcome, CASE WHEN outcome IN ('denied', 'excluded') THEN 'excluded' WHEN starts_with(outcome, 'residue:') THEN CASE WHEN fresh THEN 'new_source' ELSE 'not_selected' END END AS reason,
+  CASE WHEN outcome = 'denied' THEN 'policy:deny' WHEN outcome = 'excluded' THEN 'resolver:exclude' WHEN outcome = 'residue:decision' THEN 'decision:exclude' WHEN outcome = 'residue:not_selected' THEN CASE WHEN fresh THEN 'source:new' ELSE 'not_selected' END END AS rule_key FROM o"""
+)
+def precedence(spark, sf):
+    rows = A.pages(spark, sf).select("id", "source", "path", "sha256", F.col("content").alias("text"), (F.col("doc_id") % 2 == 0).alias("selected"), F.when(F.col("doc_id") % 4 == 0, "include").otherwise("resolver").alias("by"), (F.col("doc_id") % 11 == 0).alias("new_source"))
+    return selection.classify(rows, A.decisions(spark, sf), _DENY, _EXCLUDE).select("id", "outcome", "reason", F.col("rule.key").alias("rule_key"))
+
+
+_CANDIDATES = """cand AS (SELECT source, CASE WHEN doc_id % 5 = 0 THEN 'gone/' || path ELSE path END AS path FROM pages WHERE doc_id % 2 = 0), files AS (SELECT source, path, doc_id, id FROM pages)"""
+
+
+def _candidates(spark, sf):
+    pages = A.pages(spark, sf)
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path"))
+    return pages.where("doc_id % 2 = 0").select("source", path.alias("path"), F.lit(True).alias("selected")), pages.select("source", "path", "doc_id")
+
+
+@query(_with(A.PAGES, _CANDIDATES) + "SELECT coalesce(c.source, f.source) AS source, coalesce(c.path, f.path) AS path, f.path IS NOT NULL AS has_file, c.path IS NOT NULL AS is_candidate FROM cand c FULL JOIN files f ON c.source = f.source AND c.path = f.path")
+def candidates_full_outer(spark, sf):
+    found = selection.match_files(*_candidates(spark, sf))
+    return found.select("source", "path", "has_file", "is_candidate")
+
+
+@query(_with(A.PAGES, _CANDIDATES) + "SELECT source, path FROM cand WHERE (source, path) NOT IN (SELECT (source, path) FROM files)")
+def unresolved_links(spark, sf):
+    return selection.unresolved(*_candidates(spark, sf)).select("source", "path")
+
+
+@query(_with(A.PAGES, _CANDIDATES) + f"SELECT source, path FROM files WHERE regexp_matches(path, '{globs.to_regex('docs/*3.md')}') AND (source, path) NOT IN (SELECT (source, path) FROM cand)")
+def include_extra(spark, sf):
+    return selection.include_extra(*_candidates(spark, sf), ["docs/*3.md"]).select("source", "path")
+
+
+@query(_with(A.PAGES, A.DECISIONS, _CANDIDATES) + f"SELECT source, path, FALSE AS selected FROM files WHERE (regexp_matches(path, '{globs.to_regex('docs/*1.md')}') OR id IN (SELECT id FROM decisions)) AND (source, path) NOT IN (SELECT (source, path) FROM cand)")
+def scope_fill(spark, sf):
+    candidates, files = _candidates(spark, sf)
+    return selection.scope_fill(candidates, files, globs.matches(F.col("path"), ["docs/*1.md"]), A.decisions(spark, sf)).select("source", "path", "selected")
+
+
+@query(_with(A.PAGES) + "SELECT id, 'source:archived' AS rule_key FROM pages WHERE source IN ('src1', 'src4')")
+def archived_drop(spark, sf):
+    sources = A.table(spark, sf, "documents").select("source").distinct().withColumn("archived", F.when(F.col("source") != "src2", F.col("source").isin("src1", "src4")))
+    return selection.archived_drop(A.pages(spark, sf), sources)[1].select("id", F.col("rule.key").alias("rule_key"))
+
+
+# --- snapshots and reports ------------------------------------------------------------------------------------------
+
+_SNAP = (
+    _with(A.PAGES, A.SNAPSHOTS)
+    + """, d AS (SELECT coalesce(n.id, o.id) AS id, coalesce(n.title, o.title) AS title, o.sha256 AS old_sha256, n.sha256 AS new_sha256, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.sha256 <> n.sha256 THEN 'changed' END AS change, o.source AS os FROM old o FULL JOIN new n ON o.id = n.id),
+dr AS (SELECT id, change, title, old_sha256, new_sha256, CASE WHEN change = 'removed' THEN CASE WHEN os NOT IN (SELECT source FROM new) THEN 'source_removed' WHEN id IN (SELECT id FROM listed) THEN 'dropped_by_resolver' ELSE 'gone_upstream' END END AS reason FROM d WHERE change IS NOT NULL)"""
+)
+
+
+@query(_SNAP + " SELECT * FROM dr")
+def manifest_diff(spark, sf):
+    return snapshots.page_diff(*A.snapshots(spark, sf))
+
+
+@query(
+    _SNAP
+    + """, so AS (SELECT source, string_agg(id || sha256 || title, '|' ORDER BY id) AS g FROM old GROUP BY source), sn AS (SELECT source, string_agg(id || sha256 || title, '|' ORDER BY id) AS g FROM new GROUP BY source)
+SELECT coalesce(so.source, sn.source) AS source, CASE WHEN so.source IS NULL THEN 'added' WHEN sn.source IS NULL THEN 'removed' WHEN so.g = sn.g THEN 'unchanged' ELSE 'changed' END AS status FROM so FULL JOIN sn ON so.source = sn.source"""
+)
+def source_status(spark, sf):
+    old, new, _ = A.snapshots(spark, sf)
+    entry = ["source", "path", "sha256", "title"]
+    commit = lambda p: p.select("source").distinct().withColumn("commit", F.lit("c1"))
+    return snapshots.source_diff(commit(old), commit(new), old.select(entry), new.select(entry)).select("source", "status")
+
+
+@query(_SNAP.replace("WITH ", "WITH ", 1) + ", x AS (SELECT id FROM pages WHERE doc_id % 6 = 4) SELECT id, title, CASE WHEN reason <> 'source_removed' AND id IN (SELECT id FROM x) THEN 'excluded_by_decision' ELSE reason END AS reason FROM dr WHERE change = 'removed'")
+def removed_reason(spark, sf):
+    return snapshots.removed_reasons(snapshots.page_diff(*A.snapshots(spark, sf)), A.pages(spark, sf).where("doc_id % 6 = 4"))
+
+
+@query(_SNAP + " SELECT id, CAST(1 AS INTEGER) AS lines_added, CAST(0 AS INTEGER) AS lines_removed FROM dr WHERE change = 'changed'")
+def line_diff(spark, sf):
+    old, new, listed = A.snapshots(spark, sf)
+    return snapshots.with_line_counts(snapshots.page_diff(old, new, listed), old, new).select("id", "lines_added", "lines_removed")
+
+
+@query(
+    _with(A.PAGES, A.RESIDUE, A.DECISIONS, A.SNAPSHOTS)
+    + _SNAP[_SNAP.index(", d AS") :]
+    + """, und AS (SELECT r.id FROM residue r WHERE NOT EXISTS (SELECT 1 FROM effective e WHERE e.id = r.id AND e.sha256 = r.sha256))
+SELECT (SELECT count(DISTINCT source) FROM new) AS sources, (SELECT count(*) FROM new) AS pages, (SELECT count(*) FROM residue) AS residue, (SELECT count(*) FROM und) AS undecided,
+ (SELECT count(*) FROM residue WHERE reason = 'excluded') AS excluded, (SELECT count(*) FROM effective) AS decisions, (SELECT count(*) FROM dr WHERE change = 'added') AS added, (SELECT count(*) FROM dr WHERE change = 'removed') AS removed, (SELECT count(*) FROM dr WHERE change = 'changed') AS changed"""
+)
+def report_summary(spark, sf):
+    old, new, listed = A.snapshots(spark, sf)
+    return report.summary(new, A.residue(spark, sf), A.decisions(spark, sf), snapshots.page_diff(old, new, listed))
+
+
+@query(_with(A.PAGES, A.RESIDUE) + "SELECT 'removed_pages_max' AS gate, CAST(3 AS BIGINT) AS maximum, (SELECT count(*) FROM residue) AS actual UNION ALL SELECT 'duplicates_max', 0, (SELECT count(*) FROM pages)")
+def gates(spark, sf):
+    counts = A.pages(spark, sf).agg(F.count("*").alias("duplicates_max"), F.count_if(F.col("doc_id") % 3 == 0).alias("removed_pages_max"), F.lit(0).cast("long").alias("unresolved_links_max"))
+    return report.violations(counts, {"duplicates_max": 0, "removed_pages_max": 3, "unresolved_links_max": 0, "expired_decisions_max": None})
+
+
+@query(
+    _with(A.PAGES)
+    + f"SELECT 'min_pages' AS kind, source AS subject FROM pages GROUP BY source HAVING count(*) < 52 AND source <> 'x' UNION ALL SELECT DISTINCT 'archived', source FROM pages WHERE source = 'src4' UNION ALL SELECT 'deny', id FROM pages WHERE regexp_matches(path, '{globs.to_regex('docs/7*.md')}')"
+)
+def verify_policy(spark, sf):
+    pages = A.pages(spark, sf)
+    sources = pages.select("source", (F.col("source") == "src4").alias("archived")).distinct()
+    return report.policy_violations(pages, sources, ["docs/7*.md"], drop_archived=True, min_pages=52)
+
+
+# --- usage ----------------------------------------------------------------------------------------------------------
+
+_USAGE = _with(A.PAGES, A.RESIDUE, A.TRAIL)
+
+
+@query(_USAGE + "SELECT id FROM pages WHERE id NOT IN (SELECT unnest(retrieved) FROM trail)")
+def usage_never_retrieved(spark, sf):
+    return usage.never_retrieved(A.pages(spark, sf), A.trail(spark, sf))
+
+
+@query(_USAGE + "SELECT id FROM (SELECT DISTINCT unnest(retrieved) AS id FROM trail) WHERE id NOT IN (SELECT unnest(cited) FROM trail)")
+def usage_never_cited(spark, sf):
+    return usage.retrieved_never_cited(A.trail(spark, sf))
+
+
+_UNCITED = ", unc AS (SELECT query, arg_min(CASE WHEN ranked THEN retrieved[2] ELSE retrieved[1] END, line_no) FILTER (WHERE len(retrieved) > 0) AS top_retrieved FROM trail GROUP BY query HAVING max(len(cited)) = 0)"
+
+
+@query(_USAGE + _UNCITED + " SELECT * FROM unc")
+def uncited_queries(spark, sf):
+    return usage.uncited_queries(A.trail(spark, sf))
+
+
+@query(_USAGE + _UNCITED + " SELECT top_retrieved, count(*) AS n, min(query) AS first_query FROM unc GROUP BY top_retrieved")
+def uncited_by_page(spark, sf):
+    return usage.uncited_by_page(usage.uncited_queries(A.trail(spark, sf))).select("top_retrieved", "n", F.get("queries", F.lit(0)).alias("first_query"))
+
+
+@query(_USAGE + "SELECT count(*) AS n, max(line_no) AS last FROM trail WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY")
+def usage_since(spark, sf):
+    kept = usage.since(A.trail(spark, sf), usage.parse_since("10d"), "2024-01-31T00:00:00Z")
+    return kept.agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+
+
+@query(
+    _with(A.PAGES, A.RESIDUE)
+    + f""", docs AS (SELECT id, path, {tokens_sql(index_sql('content'))} AS t FROM residue), rl AS (SELECT id, path, len(t) AS l FROM docs WHERE len(t) > 0), rp AS (SELECT id, unnest(t) AS term FROM docs), tf AS (SELECT term, id, count(*) AS tf FROM rp GROUP BY ALL),
+rdf AS (SELECT term, count(*) AS df FROM tf GROUP BY term), rs AS (SELECT count(*) AS n, greatest(avg(l), 1) AS a FROM rl), rq AS (SELECT text AS query, term, count(*) AS times FROM (SELECT text, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query, id, path, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 9) AS score FROM rq JOIN rdf USING (term) JOIN tf USING (term) JOIN rl USING (id), rs GROUP BY ALL)
+SELECT sha256(query) AS query, id, round(score, 6) AS score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, string_split(path, '/')) = 1"""
+)
+def gap_candidates(spark, sf):
+    found = retrieval.residue_best(A.residue(spark, sf).select("id", "path", "content"), A.queries(spark, sf).select("query"))
+    return found.select(F.sha2("query", 256).alias("query"), "id", F.round("score", 6).alias("score"))
