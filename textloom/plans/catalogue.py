@@ -207,9 +207,10 @@ sh AS (SELECT DISTINCT id, s FROM (SELECT id, CASE WHEN len(t) < 5 THEN array_to
   FROM (SELECT id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM toks WHERE len(t) > 0)))"""
 
 
-@query(_with(A.PAGES, _SHINGLED) + "SELECT id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM sh GROUP BY id")
+@query(_with(A.PAGES, _SHINGLED) + "SELECT p.id, count(s) AS n, CAST(coalesce(sum(length(s)), 0) AS BIGINT) AS chars FROM pages p LEFT JOIN sh ON sh.id = p.id GROUP BY p.id")
 def shingles(spark, sf):
-    made = A.pages(spark, sf).select("id", duplicates.shingles(T.tokens(T.index_text(F.col("content")))).alias("s")).where(F.size("s") > 0)
+    tokenised = A.pages(spark, sf).select("id", T.tokens(T.index_text(F.col("content"))).alias("t"))
+    made = tokenised.select("id", duplicates.shingles(F.col("t")).alias("s"))
     return made.select("id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
