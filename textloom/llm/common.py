@@ -58,3 +58,14 @@ def by_characters(texts: list[str], most: int = 1_000_000):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps over tasks: one thing at a time, so that stages of one application don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

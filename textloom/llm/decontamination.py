@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 BLOCK_BYTES = 64 << 20
 WINDOW = 13
 
@@ -97,15 +99,9 @@ def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: in
         yield block
 
 
-_compiled: dict[int, list[Patterns]] = {}
-
-
 def _tables(block, window: int) -> list[Patterns]:
     """The tables of one broadcast block; the worker keeps those of the last one."""
-    if block.id not in _compiled:
-        _compiled.clear()
-        _compiled[block.id] = compile_items(block.items.value, window)
-    return _compiled[block.id]
+    return kept(("patterns", block.id, window), lambda: compile_items(block.items.value, window))
 
 
 class _Block:

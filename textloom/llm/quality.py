@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialise
+from .common import id_remainder, kept, materialise
 
 PLACES = 8192
 SIZE = 32
@@ -63,9 +63,6 @@ class Terms:
         return codes >> 16, shapes
 
 
-_terms = Terms()
-
-
 def index_vectors(seed: int = 7) -> np.ndarray:
     """Sparse ternary vectors: four entries of plus or minus one each."""
     rng = np.random.default_rng(seed)
@@ -80,9 +77,10 @@ def term_vectors(sample: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((REPEAT + 1, SIZE))
+        terms = kept("terms", Terms)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words, shapes = _terms.places(text)
+                words, shapes = terms.places(text)
                 if len(words) < 2:
                     continue
                 here = index[words] + index[shapes]
@@ -105,8 +103,9 @@ def term_vectors(sample: DataFrame) -> np.ndarray:
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), 2 * SIZE), np.float32)
+    terms = kept("terms", Terms)
     for row, text in enumerate(texts):
-        words, shapes = _terms.places(text)
+        words, shapes = terms.places(text)
         if len(words):
             for first in range(0, len(words), 1 << 16):
                 out[row, :SIZE] += vectors[words[first : first + (1 << 16)]].sum(0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_characters
+from .common import by_characters, kept
 
 MARK = "▁"
 UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -188,14 +188,9 @@ class Transducer:
         return self.run(MARK + piece)
 
 
-_compiled: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """One transducer a worker process and model, kept over its tasks."""
-    if path not in _compiled:
-        _compiled[path] = Transducer.from_model(path)
-    return _compiled[path]
+    return kept(("transducer", path), lambda: Transducer.from_model(path))
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

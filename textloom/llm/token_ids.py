@@ -17,6 +17,7 @@ order of their texts. Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_characters, shuffle_partitions
+from .common import by_characters, kept, shuffle_partitions
 
 BLOCK = 4096
 MAGIC = b"TLOOMPF1"
@@ -38,14 +39,14 @@ MAGIC = b"TLOOMPF1"
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: A word of Latin letters with punctuation behind it: always two or more words to the tokenizers' patterns.
-_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.;:!?]*)")
+_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 _MIXED = re.compile(f" [{_SPACE}]|^ | \\Z")
 
 
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,12 +64,13 @@ class PieceEncoder:
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _RUNS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(text) if text else [] for text in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        self._learn([piece for piece in set().union(*split) if piece not in self.known])
-        of = self.known.__getitem__
-        return [b"".join(map(of, pieces)) for pieces in split]
+        known = self.known
+        split = [self.pieces(text) if text else [] for text in texts]
+        found = [list(map(known.get, pieces)) for pieces in split]
+        self._learn(list({piece for pieces, ids in zip(split, found, strict=True) if None in ids for piece, i in zip(pieces, ids, strict=True) if i is None}))
+        return [b"".join(map(known.__getitem__, pieces) if None in ids else ids) for pieces, ids in zip(split, found, strict=True)]
 
     def _learn(self, new: list[str]) -> None:
         """Have the library encode pieces; of a word with punctuation behind it, both parts, each once."""
@@ -88,16 +90,10 @@ class PieceEncoder:
             self.known[piece] = self.known[word] + (self.known[tail] if tail else b"")
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    import os
-
+    """One encoder a worker process and vocabulary, kept over its tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: PieceEncoder(path))
 
 
 def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
