@@ -80,7 +80,7 @@ def classify(rows: DataFrame, decisions: DataFrame, deny: list[str], exclude: li
     path = F.col("path")
     df = ledgers.with_decision(rows, decisions)
     denied, excluded = globs.matches(path, deny), globs.matches(path, exclude)
-    df = df.withColumn("outcome", precedence(denied, excluded, F.col("verdict"), F.when("selected", F.col("by"))))
+    df = df.withColumn("outcome", precedence(denied, excluded, F.col("verdict"), F.when(F.col("selected"), F.col("by"))))
     if mention is not None:
         df = df.where(~F.col("outcome").startswith("residue:") | F.col("text").rlike(mention))
     reason = F.when(F.col("outcome").isin("denied", "excluded"), "excluded").when(F.col("outcome").startswith("residue:"), F.when(F.col("new_source"), "new_source").otherwise("not_selected"))

@@ -88,14 +88,18 @@ def _lines(text: str) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-@F.pandas_udf("added int, removed int")
-def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([count_lines(a, b) for a, b in zip(old, new, strict=True)], columns=["added", "removed"])
+def _line_diff():
+    """The pandas UDF over (old, new); made when it is used, since workers import this module without a session."""
+
+    def count(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([count_lines(a, b) for a, b in zip(old, new, strict=True)], columns=["added", "removed"])
+
+    return F.pandas_udf(count, "added int, removed int")
 
 
 def with_line_counts(diff: DataFrame, old_text: DataFrame, new_text: DataFrame) -> DataFrame:
     """Add lines_added and lines_removed of changed pages. Only their texts are joined."""
     changed = diff.where("change = 'changed'")
     o, n = old_text.select("id", F.col("content").alias("__old")), new_text.select("id", F.col("content").alias("__new"))
-    counted = changed.join(o, "id", "left").join(n, "id", "left").withColumn("__d", line_diff("__old", "__new"))
+    counted = changed.join(o, "id", "left").join(n, "id", "left").withColumn("__d", _line_diff()("__old", "__new"))
     return counted.withColumns({"lines_added": F.col("__d.added"), "lines_removed": F.col("__d.removed")}).drop("__d", "__old", "__new")
