@@ -385,8 +385,8 @@ _DENY, _EXCLUDE = ["**/1?.md", "docs/9*"], ["docs/*7.md"]
 @query(
     _LEDGER
     + f""", m AS (SELECT p.id, {' OR '.join(f"regexp_matches(path, '{globs.to_regex(g)}')" for g in _DENY)} AS denied, {' OR '.join(f"regexp_matches(path, '{globs.to_regex(g)}')" for g in _EXCLUDE)} AS excluded,
-  e.decision AS verdict, doc_id % 2 = 0 AS selected, doc_id % 11 = 0 AS fresh, CASE WHEN doc_id % 4 = 0 THEN 'include' ELSE 'resolver' END AS by FROM pages p LEFT JOIN effective e ON e.id = p.id AND e.sha256 = p.sha256),
-o AS (SELECT *, CASE WHEN denied THEN 'denied' WHEN excluded THEN 'excluded' WHEN verdict = 'include' THEN 'selected:decision' WHEN verdict = 'exclude' THEN 'residue:decision' WHEN selected THEN 'selected:' || by ELSE 'residue:not_selected' END AS outcome FROM m)
+  e.decision AS verdict, doc_id % 2 = 0 AS selected, doc_id % 11 = 0 AS fresh, CASE WHEN doc_id % 4 = 0 THEN 'include' ELSE 'resolver' END AS via FROM pages p LEFT JOIN effective e ON e.id = p.id AND e.sha256 = p.sha256),
+o AS (SELECT *, CASE WHEN denied THEN 'denied' WHEN excluded THEN 'excluded' WHEN verdict = 'include' THEN 'selected:decision' WHEN verdict = 'exclude' THEN 'residue:decision' WHEN selected THEN 'selected:' || via ELSE 'residue:not_selected' END AS outcome FROM m)
 SELECT id, outcome, CASE WHEN outcome IN ('denied', 'excluded') THEN 'excluded' WHEN starts_with(outcome, 'residue:') THEN CASE WHEN fresh THEN 'new_source' ELSE 'not_selected' END END AS reason,
   CASE WHEN outcome = 'denied' THEN 'policy:deny' WHEN outcome = 'excluded' THEN 'resolver:exclude' WHEN outcome = 'residue:decision' THEN 'decision:exclude' WHEN outcome = 'residue:not_selected' THEN CASE WHEN fresh THEN 'source:new' ELSE 'not_selected' END END AS rule_key FROM o"""
 )
