@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+import re
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def nested(ddl: str) -> str:
+    """The schema as the type of a field."""
+    fields = re.split(r", (?=\w+ )", ddl)
+    return "struct<" + ",".join(f.replace(" ", ":", 1) for f in fields) + ">"
 
 
-PAGE = _struct("id string, source string, path string, repo string, module string, title string, heading string, doc_type string, section string, priority bigint, content string, mirror_of string")
-CANDIDATE = _struct("source string, path string, title string, doc_type string, section string, selected boolean, context string, rule struct<key:string,text:string>")
-RESIDUE = _struct("id string, source string, path string, reason string, sha256 string, title string, excerpt string, context string, url string, rule struct<key:string,text:string>")
-DECISION = _struct("id string, sha256 string, decision string, reason string, by string, at string")
-DUPLICATE = _struct("kind string, similarity double, canonical string, duplicate string, why string, suggested string, canonical_url string, duplicate_url string")
-CHUNK = _struct("id string, page string, heading string, ordinal int, text string, sha256 string")
-DERIVED = _struct("kind string, page string, text array<string>")
-TRAIL = _struct("version int, at string, query string, retrieved array<string>, ranks array<int>, cited array<string>, outcome string, session string")
-USAGE = _struct(
+PAGE = ("id string, source string, path string, repo string, module string, title string, heading string, doc_type string, section string, priority bigint, content string, mirror_of string")
+CANDIDATE = ("source string, path string, title string, doc_type string, section string, selected boolean, context string, rule struct<key:string,text:string>")
+RESIDUE = ("id string, source string, path string, reason string, sha256 string, title string, excerpt string, context string, url string, rule struct<key:string,text:string>")
+DECISION = ("id string, sha256 string, decision string, reason string, by string, at string")
+DUPLICATE = ("kind string, similarity double, canonical string, duplicate string, why string, suggested string, canonical_url string, duplicate_url string")
+CHUNK = ("id string, page string, heading string, ordinal int, text string, sha256 string")
+DERIVED = ("kind string, page string, text array<string>")
+TRAIL = ("version int, at string, query string, retrieved array<string>, ranks array<int>, cited array<string>, outcome string, session string")
+USAGE = (
     "never_retrieved array<string>, retrieved_never_cited array<string>, "
     "uncited_queries array<struct<query:string,top_retrieved:string,best_residue:struct<id:string,score:double>>>"
 )
-PAGE_ENTRY = _struct("sha256 string, title string, doc_type string, section string, selected_by string, rendered_from string")
-MANIFEST_SOURCE = _struct(
-    f"repo string, repo_url string, ref string, commit string, archived boolean, resolver string, pages map<string,{PAGE_ENTRY.simpleString()}>, residue array<string>, "
+PAGE_ENTRY = ("sha256 string, title string, doc_type string, section string, selected_by string, rendered_from string")
+MANIFEST_SOURCE = (
+    f"repo string, repo_url string, ref string, commit string, archived boolean, resolver string, pages map<string,{nested(PAGE_ENTRY)}>, residue array<string>, "
     "unresolved array<string>, unrendered array<string>, render struct<type:string,command:array<string>,args:array<string>>"
 )
-MANIFEST = _struct(
-    f"version int, artifact_version int, generated_at string, sources map<string,{MANIFEST_SOURCE.simpleString()}>, "
+MANIFEST = (
+    f"version int, artifact_version int, generated_at string, sources map<string,{nested(MANIFEST_SOURCE)}>, "
     "derived map<string,map<string,struct<input_sha256:string,model:string,text:array<string>>>>"
 )
-META = _struct(
+META = (
     "artifact_version int, repo string, module string, base_url string, commit string, pages map<string,struct<title:string,doc_type:string,section:string>>, "
     "residue array<string>, unresolved array<string>, unrendered array<string>"
 )

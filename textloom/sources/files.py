@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as TY
 
 from textloom import schema
 from textloom.functions import text as T
@@ -18,14 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def jsonl(spark: SparkSession, path: str, kind: TY.StructType, missing_is_empty: bool = False) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, kind: str, missing_is_empty: bool = False) -> DataFrame:
     """Rows of a JSON Lines file; a line that isn't JSON of the schema fails the read, blank lines are passed over."""
     if missing_is_empty and not exists(spark, path):
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
 
 
-def numbered_jsonl(spark: SparkSession, path: str, kind: TY.StructType, missing_is_empty: bool = False) -> DataFrame:
+def numbered_jsonl(spark: SparkSession, path: str, kind: str, missing_is_empty: bool = False) -> DataFrame:
     """As jsonl with line_no, counted from 1 over all lines of the file, blank ones too.
 
     A ledger is one file; its lines are numbered inside the reader's splits, and the splits' line counts (one number
@@ -38,7 +37,7 @@ def numbered_jsonl(spark: SparkSession, path: str, kind: TY.StructType, missing_
     before = counts.select("__split", F.coalesce(F.sum("n").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     lined = raw.withColumn("__split", split).join(F.broadcast(before), "__split").select((F.col("before") + own + 1).alias("line_no"), "value")
     parsed = lined.where(F.trim("value") != "").select("line_no", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r"))
-    return parsed.select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind), "line_no")
+    return parsed.select("r.*", "line_no")
 
 
 def trail(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +95,7 @@ def artifact_pages(spark: SparkSession, root: str) -> DataFrame:
     source = F.substring_index("path", "/", 1)
     inner = F.substring(F.col("path"), F.length(source) + 2, F.length("path"))
     files = files.where(F.col("path").contains("/") & ~source.startswith("_")).select(source.alias("source"), inner.alias("path"), "content")
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.decode(F.col("content"), "UTF-8")
     meta = artifact_meta(spark, root)
     nav = meta.select("source", F.explode_outer(F.map_entries("pages")).alias("e")).select("source", F.col("e.key").alias("path"), F.col("e.value").alias("nav"))
     facts = meta.select("source", "repo", "module", "base_url")
@@ -111,7 +110,7 @@ def artifact_pages(spark: SparkSession, root: str) -> DataFrame:
 def artifact_meta(spark: SparkSession, root: str) -> DataFrame:
     """One row a source; an unreadable meta.json is empty, a newer version an error."""
     files = listing(spark, root, "meta.json").where(F.size(F.split("path", "/")) == 2)
-    parsed = files.select(F.substring_index("path", "/", 1).alias("source"), F.from_json(F.decode(F.col("content"), F.lit("UTF-8")), schema.META).alias("m")).select("source", "m.*")
+    parsed = files.select(F.substring_index("path", "/", 1).alias("source"), F.from_json(F.decode(F.col("content"), "UTF-8"), schema.META).alias("m")).select("source", "m.*")
     known = F.assert_true(F.coalesce("artifact_version", F.lit(0)) <= schema.ARTIFACT_VERSION, F.concat("source", F.lit(" has a newer artifact version")))
     return parsed.where(known.isNull())
 
