@@ -208,3 +208,83 @@ def test_catalogue(spark, name):
     want = con.sql(catalogue.oracle_sql()[name]).df()
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_schema_pages(spark):
+    pytest.importorskip("yaml")
+    text = """
+kind: CustomResourceDefinition
+spec:
+  group: g.io
+  scope: Namespaced
+  names: {kind: Thing, plural: things, shortNames: [t, th]}
+  versions:
+  - {name: v1alpha1, served: true, storage: false}
+  - {name: v0, served: false, storage: false}
+  - name: v1
+    served: true
+    storage: true
+    schema:
+      openAPIV3Schema:
+        description: "A  thing\\n of note"
+        properties:
+          metadata: {type: object}
+          spec:
+            required: [b]
+            properties:
+              b: {type: string, enum: [x, "y|z"]}
+              a: {type: array, items: {properties: {q: {type: integer}}}}
+              c: {additionalProperties: {type: string}}
+              d: {x-kubernetes-preserve-unknown-fields: true, type: object}
+          status:
+            properties:
+              ready: {type: boolean}
+              conditions: {type: array, items: {properties: {type: {type: string, enum: [Ok], description: Kind.}}}}
+---
+openapi: 3.0.0
+components: {schemas: {W: {description: w, required: [i], properties: {i: {type: integer}}}}}
+---
+kind: Other
+"""
+    from textloom.sources import schemas
+
+    got = {r.path: r.content for r in schemas.render(spark.createDataFrame([("s", "x.yaml", text)], "source string, path string, text string")).collect()}
+    assert list(got) == ["reference/g.io/thing-v1.md", "reference/g.io/thing-v1alpha1.md", "reference/w.md"]
+    page = got["reference/g.io/thing-v1.md"]
+    assert page.startswith("# Thing (g.io/v1)\n\nA thing of note\n\nScope: Namespaced · Plural: things · Short names: t, th · Served: yes · Storage: yes\n\n## Fields\n\n| Field |")
+    for row in ("| `spec.a[].q` | integer | no |  |  |", "| `spec.b` | string | yes | `x`, `y\\|z` |  |", "| `spec.c.*` | string | no |  |  |", "| `spec.d` | object | no | preserves unknown fields |  |", "\n## Status\n\n", "| `ready` | boolean |  |  |", "| `Ok` | Kind. |"):
+        assert row in page
+    assert got["reference/w.md"] == "# W\n\nw\n\n## Fields\n\n| Field | Type | Required | Values | Description |\n|---|---|---|---|---|\n| `i` | integer | yes |  |  |\n"
+
+
+def test_verify(spark):
+    from textloom.plans import verify
+
+    a = spark.createDataFrame([("x", "o/r", "main", "glob"), ("y", "o/r", "main", "glob"), ("z", "o/r", "main", "glob")], "source string, repo string, ref string, resolver string")
+    b = spark.createDataFrame([("x", "o/r", "dev", "mdbook"), ("w", "o/r", "main", "glob"), ("z", "o/r", "main", "glob")], a.schema)
+    assert {tuple(r) for r in verify.stale_sources(a, b).collect()} == {("x", "repo or ref differs"), ("x", "resolver differs"), ("y", "not in manifest"), ("w", "not in config")}
+    p, f = (spark.createDataFrame(rows, "id string, sha256 string") for rows in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9"), ("d", "4")]))
+    assert {tuple(r) for r in verify.artifact_problems(p, f).collect()} == {("b", "differs"), ("c", "missing"), ("d", "extra")}
+
+
+def test_stream(spark, tmp_path):
+    from textloom.streaming import trail
+
+    row = {"version": 1, "query": "q", "retrieved": ["s::a"], "cited": ["s::a"], "session": "1"}
+    (tmp_path / "1.json").write_text("\n".join(json.dumps(row | {"at": at}) for at in ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", "2024-01-01T00:10:00Z", "odd")))
+    good, odd = trail.timed(trail.read(spark, str(tmp_path)))
+    for df, name, mode in ((trail.page_counts(good), "counts", "complete"), (odd, "odd", "append")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination(60)
+    assert [(r.page_id, r.retrieved, r.cited) for r in spark.table("counts").collect()] == [("s::a", 2, 2)]
+    assert spark.table("odd").count() == 1
+
+
+def test_index(spark):
+    from textloom.plans.index import CorpusIndex
+
+    p = pages(spark, ("a", "1.md", "Set up", "", 5, "install the engine"), ("b", "1.md", "Set up", "", 1, "install it"), ("b", "2.md", "Other", "", 1, "nothing"))
+    index = CorpusIndex(p, spark.createDataFrame([("b::2.md", "how to frobnicate")], "page_id string, text string"))
+    assert (index.page_count(), index.searchable_count()) == (3, 2) and index.read("b::1.md") == "install it"
+    assert [h.page_id for h in index.search("frobnicate").collect()] == ["b::2.md"] and index.chunks().count() == 2
+    with pytest.raises(KeyError):
+        index.read("x")
