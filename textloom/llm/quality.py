@@ -87,8 +87,8 @@ def term_vectors(sample: DataFrame) -> np.ndarray:
                 around = np.zeros_like(here)
                 around[1:] += here[:-1]
                 around[:-1] += here[1:]
-                for terms in (words, shapes):
-                    used, at = np.unique(terms, return_inverse=True)
+                for places in (words, shapes):
+                    used, at = np.unique(places, return_inverse=True)
                     for d in range(SIZE):
                         total[used, d] += np.bincount(at, around[:, d], len(used))
         used = np.flatnonzero(np.abs(total).sum(1))
