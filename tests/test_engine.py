@@ -288,3 +288,33 @@ def test_index(spark):
     assert [h.page_id for h in index.search("frobnicate").collect()] == ["b::2.md"] and index.chunks().count() == 2
     with pytest.raises(KeyError):
         index.read("x")
+
+
+def test_external_programs(spark, tmp_path):
+    import sys
+
+    from textloom.sources import external
+
+    script = "import json,os\nprint(json.dumps({'path':'a','title':'1'}))\nprint()\nprint(json.dumps({'path':'a','title':os.environ['TEXTLOOM_SOURCE'],'rule':{'key':'k','text':'t'}}))\nprint(json.dumps({'path':'b','selected':False}))"
+    rows = external.candidates(spark, "s", [sys.executable, "-c", script], str(tmp_path)).collect()
+    assert [(r.path, r.title, r.selected, r.rule and r.rule.key) for r in rows] == [("a", "s", True, "k"), ("b", "", False, None)]
+    for bad in ("raise SystemExit(3)", "print('x')", "print('{}')"):
+        with pytest.raises(external.CommandFailed):
+            external.candidates(spark, "s", [sys.executable, "-c", bad], str(tmp_path))
+    render = "import sys,json\nfor l in sys.stdin:\n p=json.loads(l)['path']\n open('o.md','w').write('x'+p)\n print(json.dumps({'path':%r,'source_path':p}))"
+    made = external.rendered(spark, "s", [sys.executable, "-c", render % "o.md"], [{"path": "a.yaml"}], str(tmp_path)).collect()
+    assert [(r.path, r.source_path, r.content) for r in made] == [("o.md", "a.yaml", "xa.yaml")]
+    with pytest.raises(external.CommandFailed):
+        external.rendered(spark, "s", [sys.executable, "-c", render % "../o.md"], [{"path": "a.yaml"}], str(tmp_path))
+
+
+def test_glob_source(spark):
+    from pyspark.sql import functions as F
+
+    paths = spark.createDataFrame([("s", p) for p in ("docs/a.md", "docs/b.txt", "more/c.md", "x.md")], "source string, path string")
+    got = {r.path: r.selected for r in selection.glob_candidates(paths, ["docs/**"], ["md"], ["docs/**", "more/**"]).collect()}
+    assert got == {"docs/a.md": True, "docs/b.txt": False, "more/c.md": False}
+    why = selection.not_selected("glob", include=["docs/**"], extensions=["md"])
+    assert {r.path: r.k for r in paths.select("path", why.key.alias("k")).collect()}["docs/b.txt"] == "glob:extension"
+    other = paths.select(selection.not_selected("mdbook", "SUMMARY.md").text.alias("t"), selection.not_selected("external", mentioned=F.col("path") == "x.md").key.alias("e")).collect()
+    assert other[0].t == "not linked from `SUMMARY.md`" and [r.e for r in other][-1] == "external:not-selected"

@@ -11,6 +11,14 @@ from textloom.operators import ledgers
 
 # Rule keys and their sentences.
 RULES = {
+    "sidebar:unlinked": "not linked from `{}`",
+    "docusaurus:unlinked": "not linked from `{}`",
+    "mdbook:unlinked": "not linked from `{}`",
+    "sitemap:unlisted": "not listed in `{}`",
+    "glob:extension": "not one of the configured extensions ({})",
+    "glob:outside-include": "outside the configured include patterns",
+    "external:not-selected": "the resolver command reported it unselected",
+    "external:unmatched": "outside the paths the resolver command's output covers",
     "nav:dangling-link": "linked from `{}` but the file does not exist",
     "external:dangling-link": "the resolver command reported a page that does not exist in the checkout",
     "policy:deny": "matches `policy.deny` (`{}`)",
@@ -34,12 +42,27 @@ def rule(key: str, *values: Column) -> Column:
 def glob_candidates(files: DataFrame, include: list[str], extensions: list[str], residue_scope: list[str]) -> DataFrame:
     """Candidates of a glob source: files in scope, selected when a pattern and the extension match.
     files: source, path."""
-    wanted = globs.has_extension(F.col("path"), extensions)
-    chosen = globs.matches(F.col("path"), include) & wanted
-    scope = globs.matches(F.col("path"), residue_scope or include) & wanted
+    chosen = globs.matches(F.col("path"), include) & globs.has_extension(F.col("path"), extensions)
+    scope = globs.matches(F.col("path"), residue_scope or include)
     return files.where(chosen | scope).select("source", "path", chosen.alias("selected"))
 
 
+def not_selected(resolver: str, nav_file: str = "", include: list[str] = (), extensions: list[str] = (), mentioned: Column | None = None, own: Column | None = None) -> Column:
+    """Why a resolver didn't select a file: a rule for `classify`.
+
+    glob tells a wrong extension from a path outside its patterns; external takes the rule that its command gave
+    (`own`), else tells paths the command named (`mentioned`) from others; the rest name their navigation file."""
+    if resolver == "glob":
+        listed = F.lit(", ".join(extensions) or "none configured")
+        wrong = globs.matches(F.col("path"), list(include)) & ~globs.has_extension(F.col("path"), list(extensions))
+        return F.when(wrong, rule("glob:extension", listed)).otherwise(rule("glob:outside-include"))
+    if resolver == "external":
+        plain = F.when(mentioned if mentioned is not None else F.lit(False), rule("external:not-selected")).otherwise(rule("external:unmatched"))
+        return F.coalesce(own, plain) if own is not None else plain
+    key = {"vitepress": "sidebar:unlinked", "docusaurus": "docusaurus:unlinked", "mdbook": "mdbook:unlinked", "sitemap": "sitemap:unlisted"}[resolver]
+    return rule(key, F.lit(nav_file))
+
+
 def match_files(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Full outer join of candidates and files: has_file, is_candidate beside the columns of both."""
     return candidates.withColumn("is_candidate", F.lit(True)).join(files.withColumn("has_file", F.lit(True)), ["source", "path"], "full_outer").withColumns(
