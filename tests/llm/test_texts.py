@@ -168,6 +168,14 @@ def test_entities_and_divs():
     assert html_text.main_text(page) == "T\n\n" + "\n\n".join([" ".join(html_lib.unescape(text).split())] * 2)
 
 
+@pytest.mark.parametrize("aside", ['<ol class="commentlist"><li>A, b, c, d, e, f, g.</ol>', '<div id="leftSidebar">A, b, c, d, e.</div>', '<div role="navigation">A, b.</div>', '<p hidden>A, b.</p>', '<article class="comment">A, b, c.</article>', '<div style="display: none">A</div>'])
+def test_parts_beside_the_article(aside):
+    body = "<p>" + "Words, of the article, at some length. " * 5 + "</p>"
+    want = " ".join(("Words, of the article, at some length. " * 5).split())
+    assert html_text.main_text(f"<body><article>{body}{aside}</article></body>") == want
+    assert html_text.main_text(f"<body><div class=content>{body}{aside}</div>{aside}</body>") == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, 3)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(pages).collect()

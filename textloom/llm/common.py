@@ -69,3 +69,10 @@ def kept(key, make):
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
+
+
+def trim(memory: dict, most: int) -> None:
+    """Halve a memory that has grown over its bound. What was learned first stays: frequent words come early."""
+    if len(memory) > most:
+        for _ in range(len(memory) - most // 2):
+            memory.popitem()

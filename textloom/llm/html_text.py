@@ -60,6 +60,8 @@ ASIDE = frozenset(
     "sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments disqus respond reply replies "
     "footer header masthead login search toolbar pager pagination skip topbar bottombar toc tags outbrain taboola".split()
 )
+#: Beginnings of such words that are written together with others (commentlist, sidebarleft).
+ASIDE_BEGINNINGS = tuple("comment sidebar advert newsletter breadcrumb cookie sponsor disqus subscri navbar navigation footer".split())
 _NEVER = frozenset("html body article main".split())
 POSITIVE = frozenset("article body content entry main page post text blog story hentry".split())
 
@@ -154,7 +156,9 @@ def is_aside(node: Node) -> bool:
     if names.get("role", "").lower() in ROLES:
         return True
     words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{names.get('class', '')} {names.get('id', '')}").lower()))
-    return bool(words & ASIDE) and (node.tag not in _NEVER or bool(words & {"comment", "comments", "reply", "related", "sponsored", "advert", "ad"}))
+    if node.tag in _NEVER:  # an article inside the article may be a comment or a teaser, a page's main part isn't
+        return bool(words & {"comment", "comments", "reply", "related", "sponsored", "advert", "ad"})
+    return bool(words & ASIDE) or any(word.startswith(ASIDE_BEGINNINGS) for word in words)
 
 
 def prune(root: Node) -> None:

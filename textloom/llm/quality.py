@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, kept, materialise
+from .common import id_remainder, kept, materialise, trim
 
 PLACES = 8192
 SIZE = 32
@@ -52,8 +52,7 @@ class Terms:
     def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []
         known = self.known
-        if len(known) > self.most:
-            known.clear()
+        trim(known, self.most)
         for word in set(words).difference(known):
             a, b = term_places(word)
             known[word] = a << 16 | b

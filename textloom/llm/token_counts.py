@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_characters, kept
+from .common import by_characters, kept, trim
 
 MARK = "▁"
 UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -124,8 +124,7 @@ class Transducer:
         if found is None:
             found = self.run(text)
             if len(text) <= 40:
-                if len(self.counts) > self.most_words:
-                    self.counts.clear()
+                trim(self.counts, self.most_words)
                 self.counts[text] = found
         return found
 
@@ -165,13 +164,12 @@ class Transducer:
         if not text:
             return 0
         if len(text) <= chunk and "  " not in text and " \n" not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+            trim(self.pieces, self.most_words)
             known, total = self.pieces, 0
             for piece in text.replace("\n", " \n").split(" "):
                 found = known.get(piece)
                 if found is None:
                     found = known[piece] = self._piece(piece)
-                    if len(known) > self.most_words:
-                        known.clear()
                 total += found
             return total
         marked = MARK + text.replace(" ", MARK)

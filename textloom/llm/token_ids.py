@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_characters, kept, shuffle_partitions
+from .common import by_characters, kept, shuffle_partitions, trim
 
 BLOCK = 4096
 MAGIC = b"TLOOMPF1"
@@ -64,8 +64,7 @@ class PieceEncoder:
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _RUNS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
+        trim(self.known, self.most)
         known = self.known
         split = [self.pieces(text) if text else [] for text in texts]
         found = [list(map(known.get, pieces)) for pieces in split]
