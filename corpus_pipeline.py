@@ -25,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, the document with the smallest id stays."""
+    """Of each group (fingerprints within 3 bits, or five-word shingles at 0.8 or more), one document stays."""
     return simhash.keep_one(docs)
 
 

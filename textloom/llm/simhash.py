@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_links
 from .common import materialise, shuffle_partitions
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -55,18 +56,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and fingerprint (as a signed long) of every row; narrow."""
+def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """id and fingerprint (as a signed long) of every row, and the columns to carry along; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 made = np.array([fingerprint(text, width) for text in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], names=[id_column, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made), *part.columns[2:]], names=[id_column, "fp", *carried])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, fp bigint")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_column, *carried)}
+    return docs.select(id_column, text_column, *carried).mapInArrow(run, ", ".join([f"`{id_column}` {kinds[id_column]}", "fp bigint", *(f"`{c}` {kinds[c]}" for c in carried)]))
 
 
 # --- the cost model -------------------------------------------------------------------------------------------------
@@ -336,10 +337,32 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, bucket: int
     return prints.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def grouped(docs: DataFrame, most: int = 3, similarity: float = shingle_links.SIMILARITY) -> DataFrame:
+    """doc_id, th (the text's hash), fp and root of every row: texts within `most` bits, or whose five-word shingles
+    have a Jaccard similarity of `similarity` or more, share a root."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    prints = materialise(fingerprints(hashed, carried=("th",)), "prints")
+    nodes = materialise(prints.select("fp").distinct(), "nodes")
+    texts = materialise(prints.select("th", "fp").distinct(), "texts")
+    member = materialise(components(links(nodes, most)), "member")
+    meet = shingle_links.meetings(docs, texts.count(), similarity)
+    for star in (True, False):
+        placed = meet.join(texts, "th").join(member.withColumnRenamed("node", "fp"), "fp", "left")
+        placed = placed.select("key", "th", "size", "pos", F.coalesce("root", "fp").alias("root"))
+        found = shingle_links.similar(docs, placed, star, similarity)
+        more = found.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        before = member.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        member = materialise(components(before.unionByName(more)), "member")
+    return prints.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     """One document of each group: the one with the smallest id. Of rows that repeat an id, one stays; a group whose
     ids are all null keeps one row for each fingerprint."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text"), most), "groups")
+    rows = materialise(grouped(docs, most), "rows")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = materialise(found, "groups")
     stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = docs.join(stay, "doc_id", "left_semi")
     repeated = stay.where("count > 1").select("doc_id")
