@@ -70,3 +70,16 @@ def test_pairs_met_in_chunks():
     found = [p for a, b in shingle_links.pairs_met(table, False, 0.8, chunk=50) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert set(found) == expected
     assert {p for a, b in shingle_links.pairs_met(table, True, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)} <= expected
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    long, other, third = " ".join(words[:120]), " ".join(words[120:240]), " ".join(words[240:360])
+    near_third = third.replace("w300", "x")
+    rows = [(7, long, "a"), (7, other, "b"), (3, other, "c"), (None, third, "d"), (None, near_third, "e"), (None, long, "f"), (5, "twice the same", "z"), (5, "twice the same", "y"), (9, "", "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = simhash.keep_one(docs).collect()
+    third_kept = [r for r in kept if r.text in (third, near_third)]
+    assert sorted(r.source for r in kept if r not in third_kept) == ["a", "c", "g", "y"]
+    assert len(third_kept) == 1 and sorted(r.source for r in simhash.keep_one(docs).collect()) == sorted(r.source for r in kept)
+    assert simhash.keep_one(docs.limit(0)).count() == 0

@@ -357,25 +357,17 @@ def grouped(docs: DataFrame, most: int = 3, similarity: float = shingle_links.SI
 
 
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that repeat an id, one stays; a group whose
-    ids are all null keeps one row for each fingerprint."""
-    rows = materialise(grouped(docs, most), "rows")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    found = materialise(found, "groups")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    repeated = stay.where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    nameless = nameless.join(found.where(F.col("component_id").isNotNull()).select("fingerprint").distinct(), _print_of(nameless) == F.col("fingerprint"), "left_anti")
-    return once.unionByName(again).unionByName(nameless).select(docs.columns)
-
-
-def _print_of(df: DataFrame):
-    @F.udf("string")
-    def hex_print(text):
-        return f"{fingerprint(text):016x}"
-
-    return hex_print(df["text"])
+    """One row of each group: the one with the smallest id, then fingerprint, then text; ids that are null come last.
+    Of rows that repeat both id and text, the one whose other columns come first stays."""
+    rows = grouped(docs, most)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "th")).alias("m"))
+    stay = materialise(first.select(F.col("m.doc_id").alias("id"), F.col("m.th").alias("th")), "groups")
+    text = F.xxhash64("text")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["id"]) & (text == stay["th"]), "left_semi")
+    kept = materialise(kept, "kept")
+    repeated = kept.groupBy("doc_id", text.alias("th")).count().where("count > 1").select(F.col("doc_id").alias("id"), "th")
+    same = kept["doc_id"].eqNullSafe(repeated["id"]) & (text == repeated["th"])
+    once = kept.join(repeated, same, "left_anti")
+    again = kept.join(repeated, same, "left_semi").groupBy("doc_id", text.alias("th"))
+    again = again.agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")).select("row.*")
+    return once.unionByName(again).select(docs.columns)
