@@ -45,7 +45,7 @@ STAGES = [
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
-#: Models and tokenizers have no SQL; tests/llm/test_pipeline.py holds the run against a plain version.
+#: Models and tokenizers have no SQL. No test holds the rows of run() against a plain version yet.
 ORACLE_SQL = None
 
 
