@@ -35,12 +35,57 @@ from .common import by_characters, kept, shuffle_partitions, trim
 
 BLOCK = 4096
 MAGIC = b"TLOOMPF1"
-#: White space as the tokenizers' patterns know it.
+#: White space as the tokenizers' patterns know it; all but the blank and the line feed.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: A word of Latin letters with punctuation behind it: always two or more words to the tokenizers' patterns.
-_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
-_MIXED = re.compile(f" [{_SPACE}]|^ | \\Z")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f"( ?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: Byte-level vocabularies write a byte as itself where it is printable, else as a character from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = chr(_BYTE[32])
+
+
+class Pieces(dict):
+    """Ids (as bytes) of pieces of texts; a piece that isn't known is encoded by the library when it is asked for.
+
+    A plain word is given to the library's byte-pair model as the library's own normalizer and pre-tokenizer would
+    hand it over, without a search for words in it; all else goes through the whole of the library."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library, self.model = library, library.model
+        self.folds = library.normalizer is not None and library.normalizer.normalize_str("A\u00c9") == "a\u00e9"
+        letters = re.findall(f"[{_LETTERS}]", "".join(map(chr, range(256))))
+        words = [f" {a}{b}" for a, b in zip(letters, letters[1:] + letters[:1], strict=True)] + letters
+        self.direct = all(self._of_word(word) == self.of_any(word) for word in words)
+
+    def of_any(self, piece: str) -> bytes:
+        ids = self.library.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_word(self, word: str) -> bytes:
+        if self.folds:
+            word = word.strip(" ").lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE)
+        elif word[0] == " ":
+            word = _BLANK + word[1:]
+        ids = [token.id for token in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        word = _WORD.fullmatch(piece)
+        if word is None:
+            ids = self.of_any(piece)
+        elif word[2]:
+            ids = self[word[1]] + self[word[2]]
+        else:
+            ids = self._of_word(piece) if self.direct else self.of_any(piece)
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -49,44 +94,34 @@ class PieceEncoder:
     def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.folds = self.library.normalizer is not None and self.library.normalizer.normalize_str("A\u00c9") == "a\u00e9"
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of a text that begin with white space (but the first): the library's words never reach across."""
-        if _MIXED.search(text):
-            return _RUNS.findall(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _RUNS.findall(text)
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.known, self.most = Pieces(library), most
+        self.special = [token.content for token in library.get_added_tokens_decoder().values()]
+        self.bare = self.known.of_any("\n a \t b ") == self.known.of_any("a") + self.known.of_any("b")
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts of a text that the library's words never reach across.
+
+        Where it drops white space, all that white space parts, in lower case where case is dropped too and no
+        special string comes about; else, in a text of lines of words with one blank between them, every word with
+        its blank, and every line feed; in any other text runs of white space with what follows."""
+        if self.bare:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split only
+                return _RUNS.findall(text)
+            if self.known.folds and text.isascii() and not any(s in (low := text.lower()) for s in self.special):
+                return low.split()
+            return text.split()
+        plain = "  " not in text and "\n\n" not in text and " \n" not in text and text[0] != " " and text[-1] != " " and "\0" not in text
+        if plain and not any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return _RUNS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         trim(self.known, self.most)
-        known = self.known
-        split = [self.pieces(text) if text else [] for text in texts]
-        found = [list(map(known.get, pieces)) for pieces in split]
-        self._learn(list({piece for pieces, ids in zip(split, found, strict=True) if None in ids for piece, i in zip(pieces, ids, strict=True) if i is None}))
-        return [b"".join(map(known.__getitem__, pieces) if None in ids else ids) for pieces, ids in zip(split, found, strict=True)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Have the library encode pieces; of a word with punctuation behind it, both parts, each once."""
-        parts: dict[str, tuple[str, str]] = {}
-        for piece in new:
-            found = _WORD.fullmatch(piece)
-            if found:
-                word, tail = found.groups()
-                word = word.lower() if self.folds else word
-                if word != piece:
-                    parts[piece] = word, tail
-        need = [piece for piece in new if piece not in parts]
-        need += {part for both in parts.values() for part in both if part and part not in self.known}.difference(need)
-        for piece, encoding in zip(need, self.library.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            self.known[piece] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
-        for piece, (word, tail) in parts.items():
-            self.known[piece] = self.known[word] + (self.known[tail] if tail else b"")
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, self.pieces(text))) if text else b"" for text in texts]
 
 
 def encoder(path: str) -> PieceEncoder:
