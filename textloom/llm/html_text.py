@@ -78,10 +78,58 @@ class Node:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /\n\t") else {}
 
 
+class Open:
+    """The open elements from the root down, and the depths at which each tag is open.
+
+    A search for an open element asks for depths instead of walking up, so that a tag costs the same at any depth."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {}
+        self.blocks, self.cells = [0], [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+        elif node.tag in CELL:
+            self.cells.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from this depth on; the root stays open."""
+        while len(self.path) > max(depth, 1):
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            elif tag in CELL:
+                self.cells.pop()
+
+    def deepest(self, tags: frozenset) -> int:
+        return max((found[-1] for tag in tags if (found := self.depths.get(tag))), default=0)
+
+    def end(self, tags: frozenset, scope: frozenset) -> None:
+        """Close the nearest open element of `tags`, unless one of `scope` is nearer."""
+        depth = self.deepest(tags)
+        if depth and depth >= self.deepest(scope):
+            self.cut(depth)
+
+    def close(self, tag: str) -> None:
+        """An end tag; a stray one of an inline element ends no block and no cell, one of a cell no block."""
+        found = self.depths.get(tag)
+        if found:
+            nearest = 0 if tag in BLOCK else self.blocks[-1] if tag in CELL else max(self.blocks[-1], self.cells[-1])
+            if found[-1] > nearest:
+                self.cut(found[-1])
+
+
 def parse(page: str) -> Node:
-    root = node = Node("html", "", None)
+    root = Node("html", "", None)
+    opened = Open(root)
     at, size = 0, len(page)
     while at < size:
+        node = opened.path[-1]
         found = _TAG.search(page, at)
         if found is None:
             node.children.append(page[at:])
@@ -93,17 +141,16 @@ def parse(page: str) -> Node:
             tag = name.lower()
             if tag in ("html", "body", "head"):
                 if tag == "body":
-                    while node.parent:
-                        node = node.parent
+                    opened.cut(1)
                 if tag != "head":
                     continue
             if tag == "body" or node.tag == "head" and tag not in RAW and tag not in VOID and tag != "template":
-                while node.parent:
-                    node = node.parent
+                opened.cut(1)
             if tag in _ENDS_PARAGRAPH:
-                node = _end(node, *_PARAGRAPH)
+                opened.end(*_PARAGRAPH)
             if tag in _ENDS:
-                node = _end(node, *_ENDS[tag])
+                opened.end(*_ENDS[tag])
+            node = opened.path[-1]
             made = Node(tag, found[2] or "", node)
             node.children.append(made)
             if tag in RAW:
@@ -113,37 +160,14 @@ def parse(page: str) -> Node:
                 made.children.append(page[at:])
                 at = size
             elif tag not in VOID and not (found[2] or "").rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-                node = made
+                opened.push(made)
         elif name := found[3]:
             tag = name.lower()
             if tag not in ("html", "body"):
-                node = _close(node, tag)
+                opened.close(tag)
     return root
 
 
-def _end(node: Node, tags: frozenset, scope: frozenset) -> Node:
-    """The parent of the nearest open element of `tags`, unless one of `scope` is nearer."""
-    up = node
-    while up.parent is not None:
-        if up.tag in tags:
-            return up.parent
-        if up.tag in scope:
-            break
-        up = up.parent
-    return node
-
-
-def _close(node: Node, tag: str) -> Node:
-    up = node
-    while up.parent is not None:
-        if up.tag == tag:
-            return up.parent
-        if tag not in BLOCK and up.tag in BLOCK or tag not in CELL and up.tag in CELL and tag not in BLOCK:
-            break  # a stray inline end tag ends no block
-        up = up.parent
-    return node
-
-
 def is_aside(node: Node) -> bool:
     """Whether the element is a part beside the article."""
     if node.tag in DROPPED:
