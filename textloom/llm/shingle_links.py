@@ -3,22 +3,27 @@
 Words are those of the fingerprints; a text of fewer words has one shingle of all of them, one without words none.
 Two such sets share one of the first size - ceil(0.8 size) + 1 of each, in any common order. The order is by count in
 a sample of the texts, then by hash: it decides how many texts meet, never which links are found. Texts that meet
-over a shingle and can still reach the similarity by sizes and places are compared in full.
+over a shingle and can still reach the similarity by sizes and places are candidates.
 
 To spare groups of near copies the pairs among them, each shingle's texts are first held against one of them only;
 what these links join isn't compared again, and all other pairs that meet are compared in a second round.
+
+A candidate is first held against counts: every text has the numbers of its shingles in 256 ranges of hashes, and two
+texts share at most the sum of the lesser numbers. Only the sets of pairs that this bound leaves are brought together,
+so that of all texts but few move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import bitmap, materialise, shuffle_partitions, with_maybe
 
 WIDTH, SIMILARITY = 5, 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -69,7 +74,7 @@ def _per_text(docs: DataFrame, make, schema: str) -> DataFrame:
                     seen.clear()
                 made = [m for m in made if len(m[0])]
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, [])) for c in zip(*made, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) else list(chain.from_iterable(c))) for c in zip(*made, strict=True)], names=names)
 
     return docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
@@ -84,33 +89,56 @@ def common_shingles(docs: DataFrame, n: int, sample: int = 20_000, least: int =
     return hashes[order], np.array([r.n for r in counted], np.int64)[order]
 
 
+#: Kinds of rows of `meetings`: a text at a shingle it shares; a text's counts by range; a pair to compare first.
+MEET, COUNTS, STAR = 0, 1, 2
+
+
+def range_counts(hashes: np.ndarray) -> bytes:
+    """Numbers of hashes in 256 ranges, a byte each; nothing where one has no room, which bounds nothing."""
+    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def meetings(docs: DataFrame, n: int, similarity: float = SIMILARITY, rows_per_task: int = 1_000_000) -> DataFrame:
-    """(key, th, size, pos): texts by the shingles of their prefixes, of those that several texts have."""
+    """(kind, key, th, size, pos, counts). MEET: texts by the shingles of their prefixes, of those that several texts
+    have. COUNTS: size and counts of every text. STAR: pairs (key, th) of texts, those of a shingle with its first."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
+    names = ["kind", "key", "th", "size", "pos", "counts"]
 
     def make(th: int, text: str):
-        hashes = ordered(shingles(text), *shared.value)
-        own = prefix(len(hashes), similarity) if len(hashes) else 0
-        return hashes[:own].view(np.int64), np.full(own, th, np.int64), np.full(own, len(hashes), np.int32), np.arange(own, dtype=np.int32)
+        hashes = shingles(text)
+        size, own = len(hashes), prefix(len(hashes), similarity) if len(hashes) else 0
+        if not own:
+            return [np.empty(0, k) for k in (np.int8, np.int64, np.int64, np.int32, np.int32)] + [[]]
+        kind = np.zeros(own + 1, np.int8)
+        kind[own] = COUNTS
+        keys = np.append(ordered(hashes, *shared.value)[:own].view(np.int64), th)
+        return kind, keys, np.full(own + 1, th, np.int64), np.full(own + 1, size, np.int32), np.arange(own + 1, dtype=np.int32), [None] * own + [range_counts(hashes)]
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if tables:
             table = pa.concat_tables(tables)
-            key, th = table.column("key").to_numpy(), table.column("th").to_numpy()
-            order = np.lexsort((th, key))
-            key, th = key[order], th[order]
+            kind, key, th, size, pos = (table.column(c).to_numpy() for c in names[:5])
+            order = np.lexsort((th, key, kind))
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])
-            order, key = order[new], key[new]
-            same = key[1:] == key[:-1]
-            meet = np.zeros(len(key), bool)
+            new[1:] = (kind[order][1:] != kind[order][:-1]) | (key[order][1:] != key[order][:-1]) | (th[order][1:] != th[order][:-1])
+            order = order[new]
+            own = order[kind[order] == COUNTS]
+            met = order[kind[order] == MEET]
+            same = key[met][1:] == key[met][:-1]
+            meet = np.zeros(len(met), bool)
             meet[1:] |= same
             meet[:-1] |= same
-            yield from table.take(pa.array(order[meet])).combine_chunks().to_batches()
-
-    schema = "key bigint, th bigint, size int, pos int"
+            met = met[meet]
+            yield from table.take(pa.array(np.concatenate([met, own]))).combine_chunks().to_batches()
+            held = {"key": key[met], "th": th[met], "size": size[met], "pos": pos[met], "root": th[met]}
+            for a, b in pairs_met(held, True, similarity):
+                nothing = np.zeros(len(a), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), STAR, np.int8)), pa.array(a), pa.array(b), pa.array(nothing), pa.array(nothing), pa.nulls(len(a), pa.binary())], names=names)
+
+    schema = "kind tinyint, key bigint, th bigint, size int, pos int, counts binary"
     entries = _per_text(docs, make, schema)
     tasks = max(shuffle_partitions(spark), -(-n * 60 // rows_per_task))
     return materialise(entries.repartition(tasks, "key").mapInArrow(several, schema), "meetings")
@@ -145,16 +173,32 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
         at = end
 
 
-def similar(docs: DataFrame, meet: DataFrame, star: bool, similarity: float) -> DataFrame:
-    """(a, b) text hashes of pairs that meet in different components and are similar. meet: key, th, size, pos, root."""
+def second_round(meet: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of texts that meet over a shingle but lie in different components. root_of: th, root."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if tables:
             table = pa.concat_tables(tables)
-            for a, b in pairs_met({c: table.column(c).to_numpy() for c in table.column_names}, star, similarity):
+            for a, b in pairs_met({c: table.column(c).to_numpy() for c in table.column_names}, False, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    placed = meet.where(F.col("kind") == MEET).select("key", "th", "size", "pos").join(root_of, "th").select("key", "th", "size", "pos", "root")
+    return placed.repartition(shuffle_partitions(meet.sparkSession), "key").mapInArrow(candidates, "a bigint, b bigint")
+
+
+def similar(docs: DataFrame, meet: DataFrame, pairs: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) roots of the pairs (a, b) of texts in different components whose sets are similar."""
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            most = np.minimum(na, nb)
+            for row, (x, y) in enumerate(zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), strict=True)):
+                if x and y:
+                    most[row] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(most >= similarity / (1 + similarity) * (na + nb) - 1e-9))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -164,12 +208,12 @@ def similar(docs: DataFrame, meet: DataFrame, star: bool, similarity: float) ->
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    tasks = shuffle_partitions(docs.sparkSession)
-    pairs = meet.repartition(tasks, "key").mapInArrow(candidates, "a bigint, b bigint").distinct()
-    pairs = materialise(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    texts = docs.where("text IS NOT NULL").select("text").join(needed, F.xxhash64("text") == F.col("th"), "left_semi")
-    sets = _per_text(texts, lambda th, text: ([th], [shingles(text).tobytes()]), "th bigint, shingles binary").dropDuplicates(["th"])
-    sets = materialise(sets, "sets")
-    held = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return materialise(held.mapInArrow(compare, "a bigint, b bigint"), "similar")
+    facts = meet.where(F.col("kind") == COUNTS).select("th", "size", "counts").join(root_of, "th")
+    open_ = pairs.distinct().join(facts.toDF("a", "na", "ca", "ra"), "a").join(facts.toDF("b", "nb", "cb", "rb"), "b").where("ra <> rb")
+    open_ = materialise(open_.select("a", "b", "na", "nb", "ca", "cb", "ra", "rb").mapInArrow(may_be, "a bigint, b bigint, ra bigint, rb bigint"), "candidates")
+    needed = open_.select(F.explode(F.array("a", "b")).alias("th"))
+    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("th"))
+    texts = with_maybe(hashed, "th", bitmap(needed, "th")).where("maybe").select("text")
+    sets = _per_text(texts, lambda th, text: ([th], [shingles(text).tobytes()]), "th bigint, shingles binary").join(needed.distinct(), "th", "left_semi").dropDuplicates(["th"])
+    held = open_.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return materialise(held.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "similar")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_links
-from .common import materialise, shuffle_partitions
+from .common import bitmap, join_evenly, materialise, shuffle_partitions, with_maybe
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, bucket: int
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_evenly(prints, whole, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def grouped(docs: DataFrame, most: int = 3, similarity: float = shingle_links.SIMILARITY) -> DataFrame:
@@ -344,30 +344,32 @@ def grouped(docs: DataFrame, most: int = 3, similarity: float = shingle_links.SI
     prints = materialise(fingerprints(hashed, carried=("th",)), "prints")
     nodes = materialise(prints.select("fp").distinct(), "nodes")
     texts = materialise(prints.select("th", "fp").distinct(), "texts")
-    member = materialise(components(links(nodes, most)), "member")
+    member = components(links(nodes, most)).select(F.col("node").alias("fp"), "root")
+    root_of = materialise(texts.join(member, "fp", "left").select("th", F.coalesce("root", "fp").alias("root")), "roots")
     meet = shingle_links.meetings(docs, texts.count(), similarity)
     for star in (True, False):
-        placed = meet.join(texts, "th").join(member.withColumnRenamed("node", "fp"), "fp", "left")
-        placed = placed.select("key", "th", "size", "pos", F.coalesce("root", "fp").alias("root"))
-        found = shingle_links.similar(docs, placed, star, similarity)
-        more = found.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        before = member.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        member = materialise(components(before.unionByName(more)), "member")
-    return prints.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+        pairs = meet.where(F.col("kind") == shingle_links.STAR).select(F.col("key").alias("a"), F.col("th").alias("b")) if star else shingle_links.second_round(meet, root_of, similarity)
+        joined = components(shingle_links.similar(docs, meet, pairs, root_of, similarity)).toDF("root", "least")
+        root_of = materialise(root_of.join(joined, "root", "left").select("th", F.coalesce("least", "root").alias("root")), "roots")
+    return join_evenly(prints, root_of, "th", "doc_id").select("doc_id", "th", "fp", "root")
 
 
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     """One row of each group: the one with the smallest id, then fingerprint, then text; ids that are null come last.
-    Of rows that repeat both id and text, the one whose other columns come first stays."""
-    rows = grouped(docs, most)
+    Of rows that repeat both id and text, the one whose other columns come first stays.
+
+    Rows whose id and text aren't in a bitmap of those that go or repeat stay where they are; only the others move."""
+    rows = materialise(grouped(docs, most), "groups")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "th")).alias("m"))
-    stay = materialise(first.select(F.col("m.doc_id").alias("id"), F.col("m.th").alias("th")), "groups")
-    text = F.xxhash64("text")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["id"]) & (text == stay["th"]), "left_semi")
-    kept = materialise(kept, "kept")
-    repeated = kept.groupBy("doc_id", text.alias("th")).count().where("count > 1").select(F.col("doc_id").alias("id"), "th")
-    same = kept["doc_id"].eqNullSafe(repeated["id"]) & (text == repeated["th"])
-    once = kept.join(repeated, same, "left_anti")
-    again = kept.join(repeated, same, "left_semi").groupBy("doc_id", text.alias("th"))
-    again = again.agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")).select("row.*")
-    return once.unionByName(again).select(docs.columns)
+    stay = first.select(F.col("m.doc_id").alias("id"), F.col("m.th").alias("t"), F.lit(True).alias("stays"))
+    each = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    each = each.join(stay, each["doc_id"].eqNullSafe(stay["id"]) & (each["th"] == stay["t"]), "left")
+    odd = each.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.coalesce("stays", F.lit(False)).alias("__stays"))
+    odd = materialise(odd.withColumn("__h", F.xxhash64("__id", "__t")), "odd")
+    named = docs.withColumn("__th", F.xxhash64("text")).withColumn("__key", F.xxhash64("doc_id", "__th"))
+    marked = with_maybe(named.withColumn("__row", F.struct(*docs.columns)).select("__row", "__th", "__key"), "__key", bitmap(odd, "__h"))
+    same = (F.col("__key") == F.col("__h")) & F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))
+    moved = materialise(marked.where("maybe").join(odd, same, "left").where("__h IS NULL OR __stays").select("__row", "__th", F.col("__h").isNull().alias("once")), "moved")
+    again = moved.where("NOT once").groupBy(F.col("__row.doc_id").alias("d"), "__th").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    kept = marked.where("NOT maybe").select("__row").unionByName(moved.where("once").select("__row")).unionByName(again.select("__row"))
+    return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
