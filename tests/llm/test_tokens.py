@@ -35,9 +35,34 @@ def test_counts_equal_the_library():
     assert machine.count(None) == machine.count("") == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ththeren" * 40_000 + "é" * 999, "some words and lines\n" * 8_000, "  ▁ \n" * 30_000, "x y " * 16_384 + "z"])
+def test_counts_of_long_texts(text):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for part in (text, text[: (1 << 16) - 1], text[: (1 << 16) - 2], text[: 1 << 16]):
+        assert token_counts.transducer(path).count(part) == len(library.encode(part))
+
+
+def test_maps_of_all_prefixes():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Transducer.from_model(path, states=500)
+    for text in [*random_texts(60), "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "thethethethethethe"]:
+        marked = token_counts.MARK + text.replace(" ", token_counts.MARK)
+        for chunk in (1, 3, 10):
+            maps = machine.prefix_scan([machine.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])
+            for k, prefix in enumerate(maps):
+                part = text[: max(0, (k + 1) * chunk - 1)]
+                if part:
+                    assert prefix.count == len(library.encode(part)), (text, chunk, k)
+
+
 def test_counts_do_not_depend_on_memory_bounds():
     path = public_tokenizers.path("piece_bpe_32k.model")
-    small, large = token_counts.Transducer.from_model(path, states=50, words=5), token_counts.transducer(path)
+    small, large = token_counts.Transducer.from_model(path, states=50), token_counts.transducer(path)
     for text in random_texts(300):
         assert small.count(text) == large.count(text)
 

@@ -4,10 +4,13 @@ A byte-pair vocabulary with merge ranks is compiled, as far as texts need it, to
 whose transitions carry the change of the token count. A state stands for all prefixes that behave alike: the
 longest suffix that can still grow into a piece, with, at each of its positions, the last token of the encoding up
 to there and the count there. One character leads to the only token that ends at it and may follow the token
-before it. A piece never goes on past a space mark that follows another character, nor across a character outside
-the vocabulary: there every state leads to the start state. So the map of states of a text chunk is given by the
-part before its first such place, the count between, and the part after the last one; chunk maps compose
-associatively, and a prefix scan by halves over the chunks of a text gives its count.
+before it. A piece never goes on past a space mark that follows another character, so there every state goes where
+the start state goes; a character outside the vocabulary leads to the start state.
+
+Every text is cut into chunks. A chunk's map takes the state before it to the state behind it and the tokens between.
+It is kept as its value at the start state; its value at another state comes from a walk of both, which ends where
+they meet in one state, as they soon do. Maps compose, and a prefix scan that doubles its reach composes the maps of
+all chunks; the last prefix has the text's count.
 
 Null and empty texts have no bytes and no tokens. A text of any length is counted whole. Repeated rows and rows
 with a null id are kept, one output row each; other columns of the input are not read.
@@ -17,24 +20,37 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_characters, kept, trim
+from .common import by_characters_of, kept
 
 MARK = "▁"
-UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+START = ("", (None,), (0,))
+
+
+@dataclass(frozen=True)
+class ChunkMap:
+    """What a run of characters does to states: `end` and `count` for the start state. The characters are those of
+    `text`, or those of `parts`, two maps one after the other."""
+
+    end: tuple
+    count: int
+    text: str = ""
+    parts: tuple["ChunkMap", "ChunkMap"] | None = None
 
 
 class Transducer:
     """Counts the pieces of a sentencepiece BPE model with byte fallback, without running it on texts."""
 
-    def __init__(self, ranks: dict[str, float], states: int = 300_000, words: int = 400_000):
+    def __init__(self, ranks: dict[str, float], states: int = 300_000):
         self.ranks = ranks
         self.prefixes = {p[:i] for p in ranks for i in range(1, len(p))} | {""}
-        self.most_states, self.most_words = states, words
+        self.most_states = states
+        self.parted = MARK in self.prefixes and not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ranks)
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.reset()
@@ -50,9 +66,7 @@ class Transducer:
     def reset(self) -> None:
         """Forget compiled transitions; they are compiled anew when needed."""
         self.nodes: dict[tuple, dict] = {}
-        self.counts: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.start = self._node(("", (None,), (0,)))
+        self.start = self._node(START)
 
     def _node(self, state: tuple) -> dict:
         node = self.nodes.get(state)
@@ -92,7 +106,9 @@ class Transducer:
 
     def _transition(self, node: dict, char: str) -> tuple[int, dict]:
         suffix, last, count = node[None]
-        if char not in self.ranks:
+        if char == MARK and self.parted and node is not self.start and suffix[-1:] != MARK:
+            made = self.start.get(MARK) or self._transition(self.start, MARK)
+        elif char not in self.ranks:
             made = len(char.encode("utf-8", "surrogatepass")), self.start
         else:
             grown = suffix + char
@@ -105,85 +121,58 @@ class Transducer:
         node[char] = made
         return made
 
-    def run(self, unit: str) -> int:
-        """Tokens emitted from the start state over one unit."""
+    def chunk_map(self, text: str) -> ChunkMap:
         if len(self.nodes) > self.most_states:
             self.reset()
         node, total = self.start, 0
-        for char in unit:
-            step = node.get(char)
-            if step is None:
-                step = self._transition(node, char)
-            total += step[0]
-            node = step[1]
-        return total
-
-    def unit(self, text: str) -> int:
-        """`run`, remembered for short units: a composed transition from start state to start state."""
-        found = self.counts.get(text)
-        if found is None:
-            found = self.run(text)
-            if len(text) <= 40:
-                trim(self.counts, self.most_words)
-                self.counts[text] = found
-        return found
-
-    def chunk_map(self, marked: str) -> tuple[str, int | None, str]:
-        """(head, count, tail) of one chunk; count is None where no reset place lies inside."""
-        if "\n" not in marked and MARK not in marked:
-            return marked, None, ""
-        units = UNITS.findall(marked)
-        head = "" if units[0][0] == "\n" else units.pop(0)
-        if head and not units:
-            return head, None, ""
-        tail = units.pop() if units[-1] != "\n" else ""
-        return head, sum(map(self.unit, units)), tail
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        joined = a[0] if a[1] is None else a[2]
-        if b[1] is None:
-            crossing = joined + b[0]
-            seam = self._seam(joined, b[0])
-            if seam is None:
-                return (crossing, None, "") if a[1] is None else (a[0], a[1], crossing)
-            left, right = seam
-            return (left, 0, right) if a[1] is None else (a[0], a[1] + self.unit(left), right)
-        seam = self._seam(joined, b[0])
-        if a[1] is None:
-            return (joined + b[0], b[1], b[2]) if seam is None else (seam[0], self.unit(seam[1]) + b[1], b[2])
-        inner = self.unit(joined + b[0]) if seam is None else self.unit(seam[0]) + self.unit(seam[1])
-        return a[0], a[1] + inner + b[1], b[2]
-
-    @staticmethod
-    def _seam(left: str, right: str) -> tuple[str, str] | None:
-        """Two parts when a new unit begins exactly at the seam, else None."""
-        return (left, right) if left and right and right[0] == MARK and left[-1] != MARK else None
+        for char in text:
+            try:
+                emitted, node = node[char]
+            except KeyError:
+                emitted, node = self._transition(node, char)
+            total += emitted
+        return ChunkMap(node[None], total, text)
+
+    def apply(self, chunk: ChunkMap, state: tuple) -> tuple[tuple, int]:
+        """The state that `state` is taken to, and the tokens on the way."""
+        if state == START:
+            return chunk.end, chunk.count
+        if chunk.parts:
+            first, second = chunk.parts
+            end, count = self.apply(first, state)
+            if end == first.end:
+                return chunk.end, count + chunk.count - first.count
+            end, more = self.apply(second, end)
+            return end, count + more
+        if len(self.nodes) > self.most_states:
+            self.reset()
+        here, other, more = self.start, self._node(state), chunk.count
+        for char in chunk.text:
+            a, here = here.get(char) or self._transition(here, char)
+            b, other = other.get(char) or self._transition(other, char)
+            more += b - a
+            if here is other:
+                return chunk.end, more
+        return other[None], more
+
+    def compose(self, first: ChunkMap, second: ChunkMap) -> ChunkMap:
+        end, count = self.apply(second, first.end)
+        return ChunkMap(end, first.count + count, parts=(first, second))
+
+    def prefix_scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+        """The maps of all prefixes, in rounds that double the number of chunks that a map covers."""
+        reach = 1
+        while reach < len(maps):
+            maps = maps[:reach] + [self.compose(maps[i - reach], maps[i]) for i in range(reach, len(maps))]
+            reach *= 2
+        return maps
 
     def count(self, text: str | None, chunk: int = 1 << 16) -> int:
         """Pieces of a whole text as the model's library gives them, with its dummy prefix."""
         if not text:
             return 0
-        if len(text) <= chunk and "  " not in text and " \n" not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-            trim(self.pieces, self.most_words)
-            known, total = self.pieces, 0
-            for piece in text.replace("\n", " \n").split(" "):
-                found = known.get(piece)
-                if found is None:
-                    found = known[piece] = self._piece(piece)
-                total += found
-            return total
         marked = MARK + text.replace(" ", MARK)
-        maps = [self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, inside, tail = maps[0]
-        return self.unit(head) + (inside or 0) + self.unit(tail)
-
-    def _piece(self, piece: str) -> int:
-        """A piece after a space (the mark belongs to it), or one that begins with a line feed."""
-        if piece[:1] == "\n":
-            return self.run("\n") + self.run(piece[1:])
-        return self.run(MARK + piece)
+        return self.prefix_scan([self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])[-1].count
 
 
 def transducer(path: str) -> Transducer:
@@ -209,10 +198,3 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_column: str
 
     text = F.col(text_column)
     return docs.select(F.col(id_column), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(run, schema)
-
-
-def by_characters_of(texts: pa.Array, most: int = 1_000_000):
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    return by_characters([range(n) for n in sizes], most)
