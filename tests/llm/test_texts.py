@@ -1,15 +1,20 @@
 """Decontamination, sketches, chat and HTML against plain versions."""
 
 import hashlib
-import html as html_lib
+import html
+import html.parser
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from textloom.llm import chat, decontamination, html_text, sketches
+from textloom.llm import chat, decontamination, html_text, queries, sketches
+
+DATA = "/root/testdata/sf0.01"
 
 # --- decontamination ------------------------------------------------------------------------------------------------
 
@@ -50,6 +55,8 @@ def test_decontamination(spark, block_bytes):
     assert got[None][4]
     kept = {r.doc_id for r in decontamination.contaminated_filter(d, b).collect()}
     assert kept == {i for i, t in docs if not plain_hits(t, items)[4]}
+    kept = {r.doc_id for r in decontamination.contaminated_filter(d, b, block_bytes=block_bytes, group_bytes=100).collect()}
+    assert kept == {i for i, t in docs if not plain_hits(t, items)[4]}
     assert decontamination.decontaminate(d.limit(0), b).count() == 0
     assert decontamination.decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
@@ -162,10 +169,52 @@ def test_odd_pages(page):
     assert html_text.main_text(page) in ("", "&", "<", "deep")
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<b>" * 50_000 + "</i>" * 50_000 + "deep", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "deep", "<ul>" + "<li><b>" * 30_000 + "deep", "<td><b>" * 30_000 + "</td>" * 30_000 + "deep"])
+def test_deep_pages_take_seconds(page):
+    began = time.process_time()
+    assert html_text.main_text(page) == "deep" and time.process_time() - began < 20
+
+
+class PlainArticle(html.parser.HTMLParser):
+    """Blocks of what stands between the tags of a page's article, for the pages of the test tables."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.texts = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if re.fullmatch("p|h[1-6]|article", tag):
+            self.texts.append("")
+        elif tag == "br" and self.inside:
+            self.texts[-1] += " "
+
+    def handle_endtag(self, tag):
+        if re.fullmatch("p|h[1-6]", tag):
+            self.texts.append("")
+        elif tag == "article":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.texts[-1] += data
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="test tables are not here")
+def test_every_page_of_the_table_against_its_article(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    rows = queries.op9_html(spark, DATA).collect()
+    assert len(rows) == len(pages) > 0
+    for row in rows:
+        plain = PlainArticle()
+        plain.feed(pages[row.page_id])
+        assert row.text == "\n\n".join(" ".join(t.split()) for t in plain.texts if t.strip())
+
+
 def test_entities_and_divs():
     text = "One, two, three &mdash; and so on &#233;&#x41;&amp;amp; x&nbsp;y."
     page = f"<body><div id=menu><a href=x>menu</a></div><div class=content><h2>T</h2><div>{text}</div><div>{text}</div></div><div class=sidebar>{text}</div></body>"
-    assert html_text.main_text(page) == "T\n\n" + "\n\n".join([" ".join(html_lib.unescape(text).split())] * 2)
+    assert html_text.main_text(page) == "T\n\n" + "\n\n".join([" ".join(html.unescape(text).split())] * 2)
 
 
 @pytest.mark.parametrize("aside", ['<ol class="commentlist"><li>A, b, c, d, e, f, g.</ol>', '<div id="leftSidebar">A, b, c, d, e.</div>', '<div role="navigation">A, b.</div>', '<p hidden>A, b.</p>', '<article class="comment">A, b, c.</article>', '<div style="display: none">A</div>'])

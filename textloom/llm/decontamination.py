@@ -5,9 +5,10 @@ each pattern length a table over blocks of two words says how far a search posit
 occurrence; where it can't move, the block's bucket holds the few windows that end so, and words are compared.
 A text's words are read at about every twelfth place only. One-word items have one-word blocks.
 
-The benchmark is a query set. It is read in blocks of at most BLOCK_BYTES of text, each its own broadcast; a worker
-holds the compiled tables of one block at a time, so that a benchmark of any size is searched whole in bounded
-memory, and with one block (the usual case) tables are compiled once a worker.
+The benchmark is a query set. It is written in blocks of about BLOCK_BYTES of text to the shared folder; neither the
+driver nor a broadcast holds it. A worker holds the compiled tables of one block at a time: with one block (the usual
+case) they are compiled once a worker; with several the blocks are the outer loop over row groups of GROUP_BYTES of
+text, so a benchmark of any size is searched whole in bounded memory and compiled once a group.
 
 Null and empty texts have no words: no hits, not contaminated. Items without words have no window. Items that share
 an id count once; a null item_id hits but is not listed. Repeated rows and null ids are kept, one output row each.
@@ -16,15 +17,18 @@ an id count once; a null item_id hits but is not listed. Repeated rows and null
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import by_characters_of, kept, scratch
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES, GROUP_BYTES = 64 << 20, 32 << 20
 WINDOW = 13
 
 #: A-Z to lower case; ASCII that is neither letter nor digit to a space. Bytes of other characters stay.
@@ -86,79 +90,79 @@ def find_hits(words: list[bytes], tables: list[Patterns], hit: bytearray, items:
             items |= found
 
 
-def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple]]:
-    """The query set, streamed partition by partition in blocks of bounded size."""
-    block, size = [], 0
-    for row in benchmark.select(id_column, text_column).toLocalIterator():
-        block.append((None if row[0] is None else str(row[0]), row[1]))
-        size += 4 * len(row[1] or "")
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: int) -> list[str]:
+    """Files of the items (item, text), each a block of about `most` bytes once compiled."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = scratch(spark, "benchmark")
+    items.repartition(max(1, math.ceil(4 * size / most))).write.parquet(path)
+    return sorted(spark.read.schema(items.schema).parquet(path).inputFiles())
 
 
-def _tables(block, window: int) -> list[Patterns]:
-    """The tables of one broadcast block; the worker keeps those of the last one."""
-    return kept(("patterns", block.id, window), lambda: compile_items(block.items.value, window))
+def _tables(path: str, window: int) -> list[Patterns]:
+    """The compiled tables of one block; a worker keeps those of the last one."""
 
+    def make() -> list[Patterns]:
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as source:
+            items = pq.read_table(source).to_pydict()
+        return compile_items(list(zip(items["item"], items["text"], strict=True)), window)
 
-class _Block:
-    def __init__(self, number: int, items):
-        self.id, self.items = (number, items._jbroadcast.id()) if hasattr(items, "_jbroadcast") else number, items
+    return kept(("patterns", path, window), make)
+
+
+def hits_of(texts: list[str | None], blocks: list[str], window: int) -> list[tuple[int, int, set]]:
+    """(words, hit words, items that occur) of each text of a row group, block by block."""
+    hits: list[bytearray | None] = [None] * len(texts)
+    found: list[set] = [set() for _ in texts]
+    for block in blocks:
+        tables = _tables(block, window)
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            if hits[k] is None:
+                hits[k] = bytearray(len(words))
+            find_hits(words, tables, hits[k], found[k])
+    hits = [bytearray(len(words_of(text))) if hit is None else hit for text, hit in zip(texts, hits, strict=True)]  # no block at all
+    return [(len(hit), sum(hit), items) for hit, items in zip(hits, found, strict=True)]
+
+
+def is_contaminated(n_words: int, n_hit: int, least_share: int) -> bool:
+    return n_hit > 0 and least_share * n_hit >= n_words
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: int = 20, id_column: str = "doc_id",
-    text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """For every document: id, n_words, n_hit, n_items, items_sha256, contaminated (a share of 1/least_share hit)."""
-    spark = docs.sparkSession
-    blocks = [_Block(k, spark.sparkContext.broadcast(b)) for k, b in enumerate(item_blocks(benchmark, item_column, item_text, block_bytes))]
+    blocks = item_blocks(benchmark, item_column, item_text, block_bytes)
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                words = [words_of(text) for text in part.column(1).to_pylist()]
-                hits, found = [bytearray(len(w)) for w in words], [set() for _ in words]
-                for block in blocks:
-                    tables = _tables(block, window)
-                    for args in zip(words, hits, found, strict=True):
-                        find_hits(args[0], tables, *args[1:])
-                rows = []
-                for w, hit, items in zip(words, hits, found, strict=True):
+            for first, end in by_characters_of(batch.column(1), group_bytes):
+                part, rows = batch.slice(first, end - first), []
+                for n_words, n_hit, items in hits_of(part.column(1).to_pylist(), blocks, window):
                     named = sorted(i for i in items if i is not None)
-                    n_hit = sum(hit)
-                    rows.append((len(w), n_hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), n_hit > 0 and least_share * n_hit >= len(w)))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    names=[id_column, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+                    rows.append((n_words, n_hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), is_contaminated(n_words, n_hit, least_share)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_column, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return docs.select(id_column, F.col(text_column)).mapInArrow(run, schema)
 
 
-def contaminated_filter(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: int = 20) -> DataFrame:
+def contaminated_filter(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: int = 20, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns, in one narrow pass."""
-    spark = docs.sparkSession
-    blocks = [_Block(k, spark.sparkContext.broadcast(b)) for k, b in enumerate(item_blocks(benchmark, "item_id", "text", BLOCK_BYTES))]
+    blocks = item_blocks(benchmark, "item_id", "text", block_bytes)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
-            for first in range(0, batch.num_rows, 500):
-                words = [words_of(text) for text in batch.column(at).slice(first, 500).to_pylist()]
-                hits = [bytearray(len(w)) for w in words]
-                for block in blocks:
-                    for w, hit in zip(words, hits, strict=True):
-                        find_hits(w, _tables(block, window), hit, set())
-                keep += [not (h := sum(hit)) or least_share * h < len(w) for w, hit in zip(words, hits, strict=True)]
+            for first, end in by_characters_of(batch.column(at), group_bytes):
+                keep += [not is_contaminated(n_words, n_hit, least_share) for n_words, n_hit, _ in hits_of(batch.column(at).slice(first, end - first).to_pylist(), blocks, window)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
