@@ -83,6 +83,8 @@ def test_packing(spark):
     for own in by_sequence.values():
         own.sort(key=lambda r: r.offset)
         assert own[0].offset == 0 and all(b.offset == a.offset + a.length for a, b in pairwise(own)) and own[-1].offset + own[-1].length <= 1024
+        total = sum(r.length for r in own)
+        assert {r.padded_to for r in own} == {total if total & (total - 1) == 0 else 1024}
     for i, text in [*enumerate(texts), (None, "no id"), (4, "again")]:
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]
         own = sorted(by_doc[i, len(ids)], key=lambda r: r.start)

@@ -10,6 +10,10 @@ the few items left over packed first-fit by falling class. Items are ranked with
 counts of buckets added up before a rank inside the bucket, so that no task sees a whole class; a rank gives the
 item's pattern, sequence and place by arithmetic, from a table of the patterns of its class.
 
+A sequence is padded to `size`, except at a power of two: one that holds 1, 2, 4, ... ids stays as long as it is. The
+column padded_to has that length. `rounds` bounds the columns that are generated; whatever patterns there are by then
+hold every item, at the price of more padding only.
+
 Null texts are empty: their document is the end id alone. Repeated rows and null ids are kept, one set of pieces each.
 """
 
@@ -141,7 +145,7 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to of every piece."""
     spark = docs.sparkSession
     # classes: 0 whole pieces, below `step` tails by length, from `step` on items by length
     length_class = F.when(F.col("length") == size, F.lit(0)).otherwise(F.col("length")).cast("int")
@@ -158,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, step: i
 
     own = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.join(offsets.drop("n"), ["class", "bucket"]).withColumn("rank", F.col("before") + own)
-    full = ranked.where("class = 0").select("*", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = ranked.where("class = 0").select("*", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(size).cast("long").alias("padded_to"))
     # a few rows a pattern, and at most twice as many patterns as classes and leftovers: a bounded table
     table = spark.createDataFrame(slots(plan), "class int, low long, high long, per long, base long")
     at = F.col("rank") - F.col("low")
@@ -166,5 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, step: i
     mixed = mixed.withColumns({"sequence_id": F.col("base") + F.floor(at / F.col("per")) + whole, "slot": at % F.col("per")})
     inside = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), "slot").rowsBetween(Window.unboundedPreceding, -1)
     mixed = mixed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    total = F.sum("length").over(Window.partitionBy("sequence_id"))
+    mixed = mixed.withColumn("padded_to", F.when(F.bit_count(total) == 1, total).otherwise(F.lit(size)).cast("long"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"]
     return full.select(columns).unionByName(mixed.select(columns))

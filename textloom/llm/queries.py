@@ -31,7 +31,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.train(language.training_rows(docs))
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
-    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "distance")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "distance", "rejected")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
