@@ -110,6 +110,11 @@ def kept(key, make):
     return _kept[key]
 
 
+def release() -> None:
+    """Called by tasks that keep nothing, so that what an earlier stage has kept doesn't add to their own memory."""
+    _kept.clear()
+
+
 def trim(memory: dict, most: int) -> None:
     """Halve a memory that has grown over its bound. What was learned first stays: frequent words come early."""
     if len(memory) > most:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialise, shuffle_partitions, with_maybe
+from .common import bitmap, materialise, release, shuffle_partitions, with_maybe
 
 WIDTH, SIMILARITY = 5, 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -61,6 +61,7 @@ def _per_text(docs: DataFrame, make, schema: str) -> DataFrame:
     """make(text hash, text) gives the columns of its rows; a task makes them once for equal texts it has seen lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set = set()
         names = [part.split()[0] for part in schema.split(", ")]
         for batch in batches:
@@ -79,11 +80,11 @@ def _per_text(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def common_shingles(docs: DataFrame, n: int, sample: int = 20_000, least: int = 8, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int, sample: int = 5_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met often in a sample of the texts, sorted, and their counts: they come last in the order."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0)
-    pairs = _per_text(some, lambda th, text: ((h := shingles(text).view(np.int64)), np.full(len(h), th, np.int64)), "h bigint, th bigint")
-    counted = pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    each = _per_text(some, lambda th, text: (shingles(text).view(np.int64),), "h bigint")
+    counted = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
     hashes = np.array([r.h for r in counted], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], np.array([r.n for r in counted], np.int64)[order]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_links
-from .common import bitmap, join_evenly, materialise, shuffle_partitions, with_maybe
+from .common import bitmap, join_evenly, materialise, release, shuffle_partitions, with_maybe
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
     """id and fingerprint (as a signed long) of every row, and the columns to carry along; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

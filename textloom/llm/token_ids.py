@@ -91,7 +91,7 @@ class Pieces(dict):
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
