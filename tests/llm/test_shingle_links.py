@@ -7,14 +7,14 @@ import numpy as np
 from textloom.llm import shingle_links, simhash
 
 
-def texts(seed: int = 4) -> list[str]:
-    """Random texts, copies with a few words changed, and a line that half of them share."""
+def texts(seed: int = 4, most: int = 14) -> list[str]:
+    """Random texts, up to 13 copies of each with a few words changed, and a line that half of them share."""
     rng = random.Random(seed)
     words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("l", "m", "n", "r", "s", "t", "v", "z")]
     out = ["", "one", "One", "two words", "  two\twords ", "a b c d e", "A b c d e f"]
-    for i in range(60):
+    for i in range(40):
         own = [rng.choice(words) for _ in range(rng.randint(20, 150))]
-        for copy in range(rng.randint(1, 5)):
+        for copy in range(rng.randint(1, most)):
             changed = list(own)
             for _ in range(copy and rng.randint(1, 3)):
                 changed[rng.randrange(len(changed))] = rng.choice(words)
@@ -56,6 +56,40 @@ def test_keep_one_against_all_pairs(spark):
     assert kept == expected and len(expected) < len(set(plain_groups(rows, similarity=2.0)))
 
 
+def test_pairs_pruned_by_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.concatenate([s[: rng.integers(30, 60)], rng.integers(0, 2**64, rng.integers(0, 9), dtype=np.uint64)])) for s in sets for _ in range(3)]
+    counts = np.stack([np.frombuffer(shingle_links.folded_counts(shingle_links.range_counts(s)), np.uint8) for s in sets])
+    n = len(sets)
+    table = {"key": np.zeros(n, np.int64), "th": np.arange(n), "size": np.array([len(s) for s in sets]), "pos": np.zeros(n, np.int64), "root": np.arange(n)}
+    unpruned = {p for a, b in shingle_links.pairs_met(table, False, 0.8, chunk=70) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {p for a, b in shingle_links.pairs_met(table | {"counts": counts}, False, 0.8, chunk=70) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    similar = {(i, j) for i, j in unpruned if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert similar <= found < unpruned and similar
+    unknown = {p for a, b in shingle_links.pairs_met(table | {"counts": counts * 0}, False, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert unknown == unpruned
+    assert shingle_links.range_counts(np.arange(300, dtype=np.uint64)) == b""
+
+
+def test_planted_edits_are_found_and_clean_texts_stay(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst"]
+    originals = [[rng.choice(words) for _ in range(rng.randint(80, 400))] for _ in range(80)]
+    rows, copies = [(i, " ".join(w)) for i, w in enumerate(originals)], {}
+    for k in range(120):
+        i = rng.randrange(40)
+        changed = list(originals[i])
+        for _ in range(max(1, len(changed) // rng.randint(60, 200))):
+            changed[rng.randrange(len(changed))] = "edited"
+        copies[1000 + k] = jaccard(" ".join(changed), " ".join(originals[i])) >= 0.8
+        rows.append((1000 + k, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    near = {i for i, is_near in copies.items() if is_near}
+    assert len(near) > 80 and not near & kept and set(range(80)) <= kept
+
+
 def test_pairs_met_in_chunks():
     rng = np.random.default_rng(1)
     n = 300

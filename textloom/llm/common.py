@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -111,8 +113,11 @@ def kept(key, make):
 
 
 def release() -> None:
-    """Called by tasks that keep nothing, so that what an earlier stage has kept doesn't add to their own memory."""
+    """Called by tasks that keep nothing, so that what an earlier stage has kept or freed doesn't add to their memory."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def trim(memory: dict, most: int) -> None:

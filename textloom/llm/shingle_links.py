@@ -5,12 +5,14 @@ Two such sets share one of the first size - ceil(0.8 size) + 1 of each, in any c
 a sample of the texts, then by hash: it decides how many texts meet, never which links are found. Texts that meet
 over a shingle and can still reach the similarity by sizes and places are candidates.
 
-To spare groups of near copies the pairs among them, each shingle's texts are first held against one of them only;
-what these links join isn't compared again, and all other pairs that meet are compared in a second round.
+To spare groups of near copies the pairs among them, the texts of a shingle that many have are first held against one
+of them only; what these links join isn't compared again, and all other pairs that meet are compared in a second
+round. The texts of a shingle that few have are all paired at once.
 
 A candidate is first held against counts: every text has the numbers of its shingles in 256 ranges of hashes, and two
-texts share at most the sum of the lesser numbers. Only the sets of pairs that this bound leaves are brought together,
-so that of all texts but few move.
+texts share at most the sum of the lesser numbers. In the second round texts bring these counts (by 64 ranges) along,
+so that a passage that many texts share makes no rows. Only the sets of pairs that the bound leaves are brought
+together, so that of all texts but few move.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def _per_text(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def common_shingles(docs: DataFrame, n: int, sample: int = 5_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int, sample: int = 10_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met often in a sample of the texts, sorted, and their counts: they come last in the order."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0)
     each = _per_text(some, lambda th, text: (shingles(text).view(np.int64),), "h bigint")
@@ -90,8 +92,10 @@ def common_shingles(docs: DataFrame, n: int, sample: int = 5_000, least: int = 4
     return hashes[order], np.array([r.n for r in counted], np.int64)[order]
 
 
-#: Kinds of rows of `meetings`: a text at a shingle it shares; a text's counts by range; a pair to compare first.
+#: Kinds of rows of `meetings`: a text at a shingle of many; a text's counts by range; a pair to compare first.
 MEET, COUNTS, STAR = 0, 1, 2
+#: A shingle of so many texts is one of few.
+FEW = 8
 
 
 def range_counts(hashes: np.ndarray) -> bytes:
@@ -100,9 +104,16 @@ def range_counts(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def folded_counts(counts: bytes) -> bytes:
+    """Numbers by 64 ranges; nothing where one has no room."""
+    folded = np.frombuffer(counts, np.uint8).reshape(64, 4).sum(1, dtype=np.int64)
+    return folded.astype(np.uint8).tobytes() if folded.max() < 256 else b""
+
+
 def meetings(docs: DataFrame, n: int, similarity: float = SIMILARITY, rows_per_task: int = 1_000_000) -> DataFrame:
-    """(kind, key, th, size, pos, counts). MEET: texts by the shingles of their prefixes, of those that several texts
-    have. COUNTS: size and counts of every text. STAR: pairs (key, th) of texts, those of a shingle with its first."""
+    """(kind, key, th, size, pos, counts). MEET: texts by the shingles of their prefixes, of those that over FEW texts
+    have. COUNTS: size and counts of every text. STAR: pairs (key, th) of texts, those of a shingle with its first, and
+    all of a shingle of few."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
     names = ["kind", "key", "th", "size", "pos", "counts"]
@@ -128,16 +139,14 @@ def meetings(docs: DataFrame, n: int, similarity: float = SIMILARITY, rows_per_t
             order = order[new]
             own = order[kind[order] == COUNTS]
             met = order[kind[order] == MEET]
-            same = key[met][1:] == key[met][:-1]
-            meet = np.zeros(len(met), bool)
-            meet[1:] |= same
-            meet[:-1] |= same
-            met = met[meet]
-            yield from table.take(pa.array(np.concatenate([met, own]))).combine_chunks().to_batches()
-            held = {"key": key[met], "th": th[met], "size": size[met], "pos": pos[met], "root": th[met]}
-            for a, b in pairs_met(held, True, similarity):
-                nothing = np.zeros(len(a), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), STAR, np.int8)), pa.array(a), pa.array(b), pa.array(nothing), pa.array(nothing), pa.nulls(len(a), pa.binary())], names=names)
+            first = np.searchsorted(key[met], key[met])
+            many = np.searchsorted(key[met], key[met], "right") - first
+            yield from table.take(pa.array(np.concatenate([met[many > FEW], own]))).combine_chunks().to_batches()
+            for star, some in ((False, met[(many > 1) & (many <= FEW)]), (True, met[many > FEW])):
+                held = {"key": key[some], "th": th[some], "size": size[some], "pos": pos[some], "root": th[some]}
+                for a, b in pairs_met(held, star, similarity):
+                    nothing = np.zeros(len(a), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), STAR, np.int8)), pa.array(a), pa.array(b), pa.array(nothing), pa.array(nothing), pa.nulls(len(a), pa.binary())], names=names)
 
     schema = "kind tinyint, key bigint, th bigint, size int, pos int, counts binary"
     entries = _per_text(docs, make, schema)
@@ -147,9 +156,11 @@ def meetings(docs: DataFrame, n: int, similarity: float = SIMILARITY, rows_per_t
 
 def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of texts of one key that lie in different components and may reach the similarity; with `star` those with
-    the first text of the key only."""
+    the first text of the key only. `counts`, where given, has a row of counts by range (zero for none) a text."""
     order = np.lexsort((table["th"], table["root"], table["key"]))
     key, th, size, pos, root = (table[c][order] for c in ("key", "th", "size", "pos", "root"))
+    counts = table["counts"][order] if "counts" in table else None
+    counted = None if counts is None else counts.any(1)
     first = np.searchsorted(key, key)
     if star:
         left = (np.arange(len(key)) > first).astype(np.int64)
@@ -167,7 +178,14 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
         need = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
         can = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
         can &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
-        a, b = th[a[can]], th[b[can]]
+        a, b, need = a[can], b[can], need[can]
+        if counts is not None:
+            can = np.ones(len(a), bool)
+            for some in np.array_split(np.arange(len(a)), -(-max(len(a), 1) // 100_000)):
+                shared = np.minimum(counts[a[some]], counts[b[some]]).sum(1, dtype=np.int64)
+                can[some] = (shared >= need[some]) | ~counted[a[some]] | ~counted[b[some]]
+            a, b = a[can], b[can]
+        a, b = th[a], th[b]
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         if len(found):
             yield found[:, 0], found[:, 1]
@@ -177,14 +195,25 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
 def second_round(meet: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of texts that meet over a shingle but lie in different components. root_of: th, root."""
 
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [folded_counts(c) if c else b"" for c in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), batch.column("root"), pa.array(folded, pa.binary())], names=["th", "root", "counts"])
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if tables:
             table = pa.concat_tables(tables)
-            for a, b in pairs_met({c: table.column(c).to_numpy() for c in table.column_names}, False, similarity):
+            columns = {c: table.column(c).to_numpy() for c in ("key", "th", "size", "pos", "root")}
+            columns["counts"] = np.zeros((len(table), 64), np.uint8)
+            for row, counts in enumerate(table.column("counts").to_pylist()):
+                if counts:
+                    columns["counts"][row] = np.frombuffer(counts, np.uint8)
+            for a, b in pairs_met(columns, False, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    placed = meet.where(F.col("kind") == MEET).select("key", "th", "size", "pos").join(root_of, "th").select("key", "th", "size", "pos", "root")
+    facts = meet.where(F.col("kind") == COUNTS).select("th", "counts").join(root_of, "th").select("th", "root", "counts").mapInArrow(bring, "th bigint, root bigint, counts binary")
+    placed = meet.where(F.col("kind") == MEET).select("key", "th", "size", "pos").join(facts, "th").select("key", "th", "size", "pos", "root", "counts")
     return placed.repartition(shuffle_partitions(meet.sparkSession), "key").mapInArrow(candidates, "a bigint, b bigint")
 
 
