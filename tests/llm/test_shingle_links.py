@@ -117,3 +117,34 @@ def test_keep_one_of_repeated_and_missing_ids(spark):
     assert sorted(r.source for r in kept if r not in third_kept) == ["a", "c", "g", "y"]
     assert len(third_kept) == 1 and sorted(r.source for r in simhash.keep_one(docs).collect()) == sorted(r.source for r in kept)
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pivot_pairs_are_few_and_of_the_largest_component():
+    rng = np.random.default_rng(5)
+    n, pivots = 400, 3
+    table = {"key": rng.integers(0, 10, n), "th": rng.permutation(n), "size": rng.integers(20, 24, n), "pos": rng.integers(0, 3, n), "root": np.minimum(rng.integers(0, 30, n), 20)}
+    table["counts"] = np.zeros((n, 64), np.uint8)
+    every = {p for a, b in shingle_links.pairs_met(table, False, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    for seed in (1, 2):
+        found = {p for a, b in shingle_links.pivot_pairs(table, seed, pivots, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert found and found <= every and len(found) <= pivots * n
+        root = dict(zip(table["th"].tolist(), table["root"].tolist(), strict=True))
+        assert all(20 in (root[a], root[b]) for a, b in found)
+    nothing = {c: table[c][:0] for c in table}
+    assert not list(shingle_links.pivot_pairs(nothing, 1, pivots, 0.8))
+
+
+def test_group_of_partly_similar_copies(spark):
+    """Copies of one text whose pairs lie about the threshold, over passages that all share."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10_000)}"
+        rows.append(" ".join(words))
+    rows += [" ".join([f"o{k}x{i}" for i in range(40)] + base[:60]) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(set(plain_groups(rows)))

@@ -6,11 +6,13 @@ a sample of the texts, then by hash: it decides how many texts meet, never which
 over a shingle and can still reach the similarity by sizes and places are candidates.
 
 To spare groups of near copies the pairs among them, the texts of a shingle that many have are first held against one
-of them only; what these links join isn't compared again, and all other pairs that meet are compared in a second
-round. The texts of a shingle that few have are all paired at once.
+of them only, then in PIVOT_ROUNDS rounds against PIVOTS texts of the largest component at the shingle; what these
+links join isn't compared again, and all other pairs that meet are compared in a last round. So a group in which only
+some of the pairs are similar still becomes one component by a number of comparisons in proportion to its texts. The
+texts of a shingle that few have are all paired at once.
 
 A candidate is first held against counts: every text has the numbers of its shingles in 256 ranges of hashes, and two
-texts share at most the sum of the lesser numbers. In the second round texts bring these counts (by 64 ranges) along,
+texts share at most the sum of the lesser numbers. After the first round texts bring these counts (by 64 ranges) along,
 so that a passage that many texts share makes no rows. Only the sets of pairs that the bound leaves are brought
 together, so that of all texts but few move.
 """
@@ -96,6 +98,8 @@ def common_shingles(docs: DataFrame, n: int, sample: int = 10_000, least: int =
 MEET, COUNTS, STAR = 0, 1, 2
 #: A shingle of so many texts is one of few.
 FEW = 8
+#: Rounds between the first and the last, and texts of a shingle that its others are held against in each.
+PIVOT_ROUNDS, PIVOTS = 2, 8
 
 
 def range_counts(hashes: np.ndarray) -> bytes:
@@ -154,13 +158,50 @@ def meetings(docs: DataFrame, n: int, similarity: float = SIMILARITY, rows_per_t
     return materialise(entries.repartition(tasks, "key").mapInArrow(several, schema), "meetings")
 
 
+def open_pairs(a: np.ndarray, b: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, counts: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (a, b) that lie in different components and may reach the similarity by sizes, places, counts."""
+    need = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
+    can = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+    can &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
+    a, b, need = a[can], b[can], need[can]
+    if counts is not None:
+        can = np.ones(len(a), bool)
+        for some in np.array_split(np.arange(len(a)), -(-max(len(a), 1) // 100_000)):
+            x, y = counts[a[some]], counts[b[some]]
+            can[some] = (np.minimum(x, y).sum(1, dtype=np.int64) >= need[some]) | ~x.any(1) | ~y.any(1)
+        a, b = a[can], b[can]
+    return a, b
+
+
+def pivot_pairs(table: dict[str, np.ndarray], seed: int, pivots: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of `pivots` texts of a key's largest component, chosen by a hash that is the same at every key, and the
+    key's texts in other components; as many as there are rows, times `pivots`, at most."""
+    mixed = (table["th"].view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), table["root"], table["key"]))
+    key, th, size, pos, root, counts = (table[c][order] for c in ("key", "th", "size", "pos", "root", "counts"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (root[1:] != root[:-1])
+    runs = np.flatnonzero(new)
+    length = np.diff(np.append(runs, len(key)))
+    largest = np.lexsort((-length, key[runs]))
+    largest = largest[np.unique(key[runs][largest], return_index=True)[1]]
+    own = np.searchsorted(key[runs[largest]], key)
+    first, most = runs[largest][own], length[largest][own]
+    for nth in range(pivots):
+        b = np.flatnonzero(most > nth)
+        a, b = open_pairs(first[b] + nth, b, root, size, pos, counts, similarity)
+        a, b = th[a], th[b]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        if len(found):
+            yield found[:, 0], found[:, 1]
+
+
 def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of texts of one key that lie in different components and may reach the similarity; with `star` those with
     the first text of the key only. `counts`, where given, has a row of counts by range (zero for none) a text."""
     order = np.lexsort((table["th"], table["root"], table["key"]))
     key, th, size, pos, root = (table[c][order] for c in ("key", "th", "size", "pos", "root"))
     counts = table["counts"][order] if "counts" in table else None
-    counted = None if counts is None else counts.any(1)
     first = np.searchsorted(key, key)
     if star:
         left = (np.arange(len(key)) > first).astype(np.int64)
@@ -175,16 +216,7 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
         n = left[at:end]
         b = np.repeat(np.arange(at, end), n)
         a = first[b] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        need = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
-        can = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
-        can &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
-        a, b, need = a[can], b[can], need[can]
-        if counts is not None:
-            can = np.ones(len(a), bool)
-            for some in np.array_split(np.arange(len(a)), -(-max(len(a), 1) // 100_000)):
-                shared = np.minimum(counts[a[some]], counts[b[some]]).sum(1, dtype=np.int64)
-                can[some] = (shared >= need[some]) | ~counted[a[some]] | ~counted[b[some]]
-            a, b = a[can], b[can]
+        a, b = open_pairs(a, b, root, size, pos, counts, similarity)
         a, b = th[a], th[b]
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         if len(found):
@@ -192,8 +224,9 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
         at = end
 
 
-def second_round(meet: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of texts that meet over a shingle but lie in different components. root_of: th, root."""
+def later_round(meet: DataFrame, root_of: DataFrame, seed: int | None, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of texts that meet over a shingle but lie in different components: with a seed those with pivots, without
+    one all. root_of: th, root."""
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +242,7 @@ def second_round(meet: DataFrame, root_of: DataFrame, similarity: float = SIMILA
             for row, counts in enumerate(table.column("counts").to_pylist()):
                 if counts:
                     columns["counts"][row] = np.frombuffer(counts, np.uint8)
-            for a, b in pairs_met(columns, False, similarity):
+            for a, b in pairs_met(columns, False, similarity) if seed is None else pivot_pairs(columns, seed, PIVOTS, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     facts = meet.where(F.col("kind") == COUNTS).select("th", "counts").join(root_of, "th").select("th", "root", "counts").mapInArrow(bring, "th bigint, root bigint, counts binary")
@@ -217,8 +250,8 @@ def second_round(meet: DataFrame, root_of: DataFrame, similarity: float = SIMILA
     return placed.repartition(shuffle_partitions(meet.sparkSession), "key").mapInArrow(candidates, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, meet: DataFrame, pairs: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) roots of the pairs (a, b) of texts in different components whose sets are similar."""
+def similar(docs: DataFrame, meet: DataFrame, pairs: DataFrame, root_of: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(a, b) roots of the pairs (a, b) of texts in different components whose sets are similar; None without any."""
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,9 +274,12 @@ def similar(docs: DataFrame, meet: DataFrame, pairs: DataFrame, root_of: DataFra
     facts = meet.where(F.col("kind") == COUNTS).select("th", "size", "counts").join(root_of, "th")
     open_ = pairs.distinct().join(facts.toDF("a", "na", "ca", "ra"), "a").join(facts.toDF("b", "nb", "cb", "rb"), "b").where("ra <> rb")
     open_ = materialise(open_.select("a", "b", "na", "nb", "ca", "cb", "ra", "rb").mapInArrow(may_be, "a bigint, b bigint, ra bigint, rb bigint"), "candidates")
+    if open_.isEmpty():
+        return None
     needed = open_.select(F.explode(F.array("a", "b")).alias("th"))
     hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("th"))
     texts = with_maybe(hashed, "th", bitmap(needed, "th")).where("maybe").select("text")
     sets = _per_text(texts, lambda th, text: ([th], [shingles(text).tobytes()]), "th bigint, shingles binary").join(needed.distinct(), "th", "left_semi").dropDuplicates(["th"])
     held = open_.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return materialise(held.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "similar")
+    near = materialise(held.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "similar")
+    return None if near.isEmpty() else near

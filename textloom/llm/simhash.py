@@ -348,10 +348,14 @@ def grouped(docs: DataFrame, most: int = 3, similarity: float = shingle_links.SI
     member = components(links(nodes, most)).select(F.col("node").alias("fp"), "root")
     root_of = materialise(texts.join(member, "fp", "left").select("th", F.coalesce("root", "fp").alias("root")), "roots")
     meet = shingle_links.meetings(docs, texts.count(), similarity)
-    for star in (True, False):
-        pairs = meet.where(F.col("kind") == shingle_links.STAR).select(F.col("key").alias("a"), F.col("th").alias("b")) if star else shingle_links.second_round(meet, root_of, similarity)
-        joined = components(shingle_links.similar(docs, meet, pairs, root_of, similarity)).toDF("root", "least")
-        root_of = materialise(root_of.join(joined, "root", "left").select("th", F.coalesce("least", "root").alias("root")), "roots")
+    stars = meet.where(F.col("kind") == shingle_links.STAR).select(F.col("key").alias("a"), F.col("th").alias("b"))
+    later = () if meet.where(F.col("kind") == shingle_links.MEET).isEmpty() else (*range(1, shingle_links.PIVOT_ROUNDS + 1), None)
+    for seed in (0, *later):
+        pairs = stars if seed == 0 else shingle_links.later_round(meet, root_of, seed, similarity)
+        near = shingle_links.similar(docs, meet, pairs, root_of, similarity)
+        if near is not None:
+            joined = components(near).toDF("root", "least")
+            root_of = materialise(root_of.join(joined, "root", "left").select("th", F.coalesce("least", "root").alias("root")), "roots")
     return join_evenly(prints, root_of, "th", "doc_id").select("doc_id", "th", "fp", "root")
 
 
