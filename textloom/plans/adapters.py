@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import assist
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,3 +109,20 @@ def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAIL = """trail AS (SELECT event_id AS line_no, ts, event_type || '-' || user_id AS query,
   CASE WHEN event_type = 'error' THEN [] ELSE [ 'src' || ((event_id + k) % 20) || '::docs/' || ((event_id * 7 + k) % 1500) || '.md' for k in range(3) ] END AS retrieved, event_id % 2 = 0 AS ranked,
   CASE WHEN event_type = 'purchase' THEN [ 'src' || (event_id % 20) || '::docs/' || (event_id * 7 % 1500) || '.md' ] ELSE [] END AS cited FROM events)"""
+
+
+#: What the derived texts of the fixture were asked with.
+QUESTIONS, PROMPT = 3, "Write questions that this page answers."
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of every other page, those of every seventh for an older text, and some of pages that are gone."""
+    sha = F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.col("sha256"))
+    page = F.when(F.col("doc_id") % 22 == 0, F.concat(F.lit("gone::"), "path")).otherwise(F.col("id"))
+    rows = pages(spark, sf_dir).where("doc_id % 2 = 0")
+    return rows.select(page.alias("page"), F.lit("questions").alias("kind"), assist.freshness(sha, QUESTIONS, PROMPT).alias("input_sha256"), F.lit("scripted").alias("model"))
+
+
+DERIVED = f"""inputs AS (SELECT *, sha256(concat_ws(chr(10), 'questions-v1', sha256, '{QUESTIONS}', '{PROMPT}')) AS input_sha256 FROM pages),
+derived AS (SELECT CASE WHEN doc_id % 22 = 0 THEN 'gone::' || path ELSE id END AS page,
+  CASE WHEN doc_id % 7 = 0 THEN sha256(concat_ws(chr(10), 'questions-v1', repeat('0', 64), '{QUESTIONS}', '{PROMPT}')) ELSE input_sha256 END AS input_sha256 FROM inputs WHERE doc_id % 2 = 0)"""

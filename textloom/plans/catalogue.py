@@ -4,6 +4,7 @@ Each entry applies one operator, or a few that belong together, to whole tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import globs
 from textloom.functions import text as T
-from textloom.operators import duplicates, ledgers, report, retrieval, sections, selection, snapshots, usage
+from textloom.operators import assist, duplicates, ledgers, report, retrieval, sections, selection, snapshots, usage
 from textloom.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +333,11 @@ def dup_winner(spark, sf):
     return duplicates.find(A.pages(spark, sf)).select("kind", F.round("similarity", 6).alias("similarity"), "canonical", "duplicate", "why", "suggested")
 
 
+@query(_DUPLICATES + "SELECT CAST(similarity AS DOUBLE) AS similarity, canonical, duplicate FROM judged WHERE kind = 'mirror'")
+def mirror_dups(spark, sf):
+    return duplicates.find(A.pages(spark, sf)).where("kind = 'mirror'").select(F.round("similarity", 6).alias("similarity"), "canonical", "duplicate")
+
+
 @query(_DUPLICATES + "SELECT kind, count(*) AS n FROM judged GROUP BY kind")
 def dup_by_kind(spark, sf):
     return duplicates.by_kind(duplicates.find(A.pages(spark, sf)))
@@ -515,6 +521,11 @@ def usage_never_cited(spark, sf):
 _UNCITED = ", unc AS (SELECT query, arg_min(CASE WHEN ranked THEN retrieved[2] ELSE retrieved[1] END, line_no) FILTER (WHERE len(retrieved) > 0) AS top_retrieved FROM trail GROUP BY query HAVING max(len(cited)) = 0)"
 
 
+@query(_USAGE + "SELECT line_no, CASE WHEN ranked THEN retrieved[2] ELSE retrieved[1] END AS top FROM trail")
+def top_retrieved(spark, sf):
+    return A.trail(spark, sf).select("line_no", usage.top_retrieved(F.col("retrieved"), F.col("ranks")).alias("top"))
+
+
 @query(_USAGE + _UNCITED + " SELECT * FROM unc")
 def uncited_queries(spark, sf):
     return usage.uncited_queries(A.trail(spark, sf))
@@ -541,3 +552,35 @@ SELECT sha256(query) AS query, id, round(score, 6) AS score FROM sc WHERE score
 def gap_candidates(spark, sf):
     found = retrieval.residue_best(A.residue(spark, sf).select("id", "path", "content"), A.queries(spark, sf).select("query"))
     return found.select(F.sha2("query", 256).alias("query"), "id", F.round("score", 6).alias("score"))
+
+
+# --- model-assisted steps, over a scripted transport ----------------------------------------------------------------
+
+
+@query(_with(A.PAGES, _MIRRORS, A.DERIVED) + "SELECT id, input_sha256 FROM inputs i WHERE id NOT IN (SELECT id FROM mirrors) AND NOT EXISTS (SELECT 1 FROM derived d WHERE d.page = i.id AND d.input_sha256 = i.input_sha256)")
+def derive_freshness(spark, sf):
+    pages = retrieval.mark_mirrors(A.pages(spark, sf))
+    return assist.stale(pages, A.derived(spark, sf), A.QUESTIONS, A.PROMPT).select("id", "input_sha256")
+
+
+@query(_with(A.PAGES, _MIRRORS, A.DERIVED) + "SELECT d.page, d.input_sha256 FROM derived d JOIN inputs i ON i.id = d.page AND i.input_sha256 = d.input_sha256 WHERE d.page NOT IN (SELECT id FROM mirrors)")
+def derive_carry_over(spark, sf):
+    pages = retrieval.mark_mirrors(A.pages(spark, sf))
+    return assist.carried_over(pages, A.derived(spark, sf), A.QUESTIONS, A.PROMPT).select("page", "input_sha256")
+
+
+def scripted_verdicts(model: str, messages: list[dict]) -> tuple[int, str]:
+    """A transport without a network: a verdict by the length of the excerpt, now and then a word that is none."""
+    asked = json.loads(messages[-1]["content"])
+    words = ("include", "exclude", "unsure", "perhaps")
+    return 200, json.dumps([{"id": a["id"], "verdict": words[len(a["excerpt"]) % 4], "rationale": f"{len(a['excerpt'])} characters"} for a in asked])
+
+
+@query(
+    _LEDGER
+    + """SELECT r.id, CASE WHEN length(title) % 4 = 1 THEN 'exclude' WHEN length(title) % 4 = 0 AND r.reason <> 'new_source' THEN 'include' ELSE 'unsure' END AS verdict,
+  length(title) || ' characters' AS rationale FROM residue r WHERE NOT EXISTS (SELECT 1 FROM effective e WHERE e.id = r.id AND e.sha256 = r.sha256)"""
+)
+def classify_batches(spark, sf):
+    undecided = ledgers.undecided(A.residue(spark, sf), A.decisions(spark, sf), include_excluded=True)
+    return assist.classify(undecided.select("id", "reason", F.col("title").alias("excerpt")), scripted_verdicts, "scripted", A.PROMPT)
