@@ -126,3 +126,36 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 DERIVED = f"""inputs AS (SELECT *, sha256(concat_ws(chr(10), 'questions-v1', sha256, '{QUESTIONS}', '{PROMPT}')) AS input_sha256 FROM pages),
 derived AS (SELECT CASE WHEN doc_id % 22 = 0 THEN 'gone::' || path ELSE id END AS page,
   CASE WHEN doc_id % 7 = 0 THEN sha256(concat_ws(chr(10), 'questions-v1', repeat('0', 64), '{QUESTIONS}', '{PROMPT}')) ELSE input_sha256 END AS input_sha256 FROM inputs WHERE doc_id % 2 = 0)"""
+
+
+def navigation_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A navigation file for every page: a sidebar with its title over its heading, a summary with drafts and fences, a
+    sitemap with addresses in both cases."""
+    label = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\[\]]", ""))
+    number = F.col("doc_id").cast("string")
+
+    def literal(column: str):
+        made = F.to_json(F.array(F.coalesce(column, F.lit(""))))
+        return F.substring(made, F.lit(2), F.length(made) - 2)
+
+    text = {
+        "vitepress": F.concat(
+            F.lit("import x from 'y'\nexport default { title: 'T', // {\n sidebar: [ { text: "), literal("title"), F.lit(", items: [ { text: "), literal("heading"), F.lit(", link: '/"), number,
+            F.lit("', }, ] }, /* [ */ { text: \"Home\", link: `/` } ] }"),
+        ),
+        "mdbook": F.concat(F.lit("# Summary\n\n- [Start](start.md)\n- [Draft]()\n# "), "source", F.lit("\n```\n- [No](no.md)\n```\n  - ["), label, F.lit("]( docs/"), number, F.lit(".md )\n")),
+        "sitemap": F.concat(F.lit("<urlset><url><loc>\n https://x/"), "source", F.lit("/"), number, F.lit(".html </loc></url>\n<url><LOC>https://x/"), number, F.lit("</LOC></url></urlset>")),
+    }[kind]
+    return pages(spark, sf_dir).select("source", F.lit("docs").alias("base"), text.alias("text"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of one source and one page for every page."""
+    empty = F.array().cast("array<string>")
+    text = F.lit("").cast("string")
+    entry = F.struct("sha256", "title", text.alias("doc_type"), text.alias("section"), "selected_by", F.lit(None).cast("string").alias("rendered_from"))
+    source = F.struct(
+        F.lit("acme/x").alias("repo"), F.lit("main").alias("ref"), F.lit("c1").alias("commit"), F.create_map("path", entry).alias("pages"),
+        F.array(F.concat(F.lit("more/"), "path")).alias("residue"), empty.alias("unresolved"), empty.alias("unrendered"),
+    )
+    return pages(spark, sf_dir).select(F.lit(1).alias("version"), F.lit(1).alias("artifact_version"), F.create_map("source", source).alias("sources"))

@@ -14,6 +14,7 @@ from textloom.functions import globs
 from textloom.functions import text as T
 from textloom.operators import assist, duplicates, ledgers, report, retrieval, sections, selection, snapshots, usage
 from textloom.plans import adapters as A
+from textloom.sources import files, navigation
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -584,3 +585,41 @@ def scripted_verdicts(model: str, messages: list[dict]) -> tuple[int, str]:
 def classify_batches(spark, sf):
     undecided = ledgers.undecided(A.residue(spark, sf), A.decisions(spark, sf), include_excluded=True)
     return assist.classify(undecided.select("id", "reason", F.col("title").alias("excerpt")), scripted_verdicts, "scripted", A.PROMPT)
+
+
+# --- navigation files and manifests ---------------------------------------------------------------------------------
+
+
+@query(
+    _with(A.PAGES)
+    + """SELECT source, '/' || doc_id AS link, coalesce(heading, '') AS title, coalesce(title, '') AS section FROM pages
+UNION ALL SELECT source, '/', 'Home', '' FROM pages"""
+)
+def nav_sidebar(spark, sf):
+    return navigation.rows(A.navigation_files(spark, sf, "vitepress"), "vitepress").select("source", "link", "title", "section")
+
+
+@query(
+    _with(A.PAGES)
+    + """SELECT source, 'docs/' || doc_id || '.md' AS link, trim(regexp_replace(coalesce(title, ''), '[\\[\\]]', '', 'g')) AS title, source AS section FROM pages
+UNION ALL SELECT source, 'start.md', 'Start', '' FROM pages"""
+)
+def summary_scan(spark, sf):
+    return navigation.rows(A.navigation_files(spark, sf, "mdbook"), "mdbook").select("source", "link", "title", "section")
+
+
+@query(_with(A.PAGES) + "SELECT source, 'https://x/' || source || '/' || doc_id || '.html' AS link FROM pages UNION ALL SELECT source, 'https://x/' || doc_id FROM pages")
+def sitemap_scan(spark, sf):
+    return navigation.rows(A.navigation_files(spark, sf, "sitemap"), "sitemap").select("source", "link")
+
+
+@query(
+    _with(A.PAGES)
+    + """SELECT id, source, path, 'page' AS list, sha256, title, selected_by FROM pages
+UNION ALL SELECT source || '::more/' || path, source, 'more/' || path, 'residue', NULL, NULL, NULL FROM pages"""
+)
+def manifest_flatten(spark, sf):
+    manifests = A.manifests(spark, sf)
+    listed = files.manifest_pages(manifests).select("id", "source", "path", F.lit("page").alias("list"), "sha256", "title", "selected_by")
+    rest = files.manifest_ids(manifests, "residue").withColumn("list", F.lit("residue"))
+    return listed.unionByName(rest, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -125,3 +126,23 @@ def from_dict(raw: Any) -> Config:
         globs.to_regex(pattern)
     gates = _only("gates", raw.get("gates") or {}, set(GATES))
     return Config(sources, list(policy.get("deny") or []), policy.get("archived", "warn"), int(policy.get("min_pages_per_source", 0)), gates, raw.get("eval"))
+
+
+def unique_names(names: list[str], taken: list[str] = ()) -> list[str]:
+    """Names in order, each clash with a name before it as name-2, name-3 and so on."""
+    used, out = set(taken), []
+    for name in names:
+        candidate, n = name, 1
+        while candidate in used:
+            n += 1
+            candidate = f"{name}-{n}"
+        used.add(candidate)
+        out.append(candidate)
+    return out
+
+
+def absolutise(base: str, argument: str) -> str:
+    """The absolute path of an argument that has a separator and names something below base; others as they are."""
+    below = os.path.join(base, argument)
+    relative = not os.path.isabs(argument) and ("/" in argument or "\\" in argument)
+    return os.path.abspath(below) if relative and os.path.exists(below) else argument

@@ -95,8 +95,16 @@ def artifact_pages(spark: SparkSession, root: str) -> DataFrame:
     source = F.substring_index("path", "/", 1)
     inner = F.substring(F.col("path"), F.length(source) + 2, F.length("path"))
     files = files.where(F.col("path").contains("/") & ~source.startswith("_")).select(source.alias("source"), inner.alias("path"), "content")
+    return as_pages(files, artifact_meta(spark, root))
+
+
+#: Type of meta.json's pages.
+META_PAGES = "map<string,struct<title:string,doc_type:string,section:string>>"
+
+
+def as_pages(files: DataFrame, meta: DataFrame) -> DataFrame:
+    """Pages of files (source, path, content) with what the meta rows of their sources say of them."""
     text = F.decode(F.col("content"), "UTF-8")
-    meta = artifact_meta(spark, root)
     nav = meta.select("source", F.explode_outer(F.map_entries("pages")).alias("e")).select("source", F.col("e.key").alias("path"), F.col("e.value").alias("nav"))
     facts = meta.select("source", "repo", "module", "base_url")
     df = files.join(nav, ["source", "path"], "left").join(facts, "source", "left").withColumn("raw", text)
@@ -135,6 +143,7 @@ def pretty(rows: list[dict]) -> str:
 
 
 def write_artifact(pages: DataFrame, path: str) -> None:
-    """Pages as Parquet, a folder a source; rows whose content isn't what their hash says fail the write."""
+    """Pages as Parquet, a folder a source, into a folder that isn't there yet; rows whose content isn't what their hash
+    says fail the write. `artifact.write` makes the folder of Markdown files."""
     checked = pages.where(F.assert_true(F.col("sha256") == F.sha2("content", 256), F.concat(F.lit("hash of "), "id")).isNull())
-    checked.write.mode("overwrite").partitionBy("source").parquet(path)
+    checked.write.mode("errorifexists").partitionBy("source").parquet(path)

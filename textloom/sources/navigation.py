@@ -140,6 +140,11 @@ def sitemap_paths(location: str, url_prefix: str, path_prefix: str) -> list[str]
     return [f"{base}{rest}"] if rest.endswith((".md", ".mdx")) else [f"{base}{rest}.md", f"{base}{rest}/README.md", f"{base}{rest}/index.md"]
 
 
+def default_scope(folder: str, custom: list[str] = ()) -> list[str]:
+    """Patterns of files that may be residue: Markdown below the navigation file's folder, unless others are given."""
+    return list(custom) or [f"{folder}/**/*.md" if folder else "**/*.md"]
+
+
 _SCHEMA = "source string, base string, link string, title string, section string, folder boolean"
 
 
