@@ -210,6 +210,22 @@ def test_catalogue(spark, name):
     assert rows(got) == rows(want)
 
 
+def against_sql(spark, tmp_path, name, texts):
+    """Rows of a query and of its SQL over documents made of (doc_id, text, source)."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', ?, 0)", [[i, t, s] for i, t, s in texts])
+    con.sql(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got, want = catalogue.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalogue.oracle_sql()[name]).df()
+    assert list(got.columns) == list(want.columns)
+    return tuple(sorted(map(str, df.itertuples(index=False, name=None))) for df in (got, want))
+
+
+def test_chunks_of_long_sections(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "chunks", [[1, "Top\nHead\n" + "word " * 1300 + "\nSub\nx y", "src1"], [2, "Top\nHead\nword\nSub\nx y", "src2"]])
+    assert got == want and len(got) == 4
+
+
 def test_schema_pages(spark):
     pytest.importorskip("yaml")
     text = """
