@@ -226,6 +226,39 @@ def test_chunks_of_long_sections(spark, tmp_path):
     assert got == want and len(got) == 4
 
 
+#: Exact copies, one title over different texts, one set of shingles under different titles, near texts, and none.
+PAIRED = [
+    "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\nquite another text",
+    "same title, here\n" + " ".join(f"w{i}" for i in range(60)), "Other\n" + " ".join(f"v{i}" for i in range(80)), "Other now\n" + " ".join(f"v{i}" for i in range(80)),
+    "\nhead\nbody of it", "\nhead\nbody of that", ",\n...", ",\n..", "the\nof", "One two\nthree", "one\nTwo three", "", "alone in this",
+]
+
+
+@pytest.mark.parametrize("name", ["dup_by_kind", "dup_winner", "mirror_dups", "near_dups"])
+def test_duplicates_against_sql(spark, tmp_path, name, monkeypatch):
+    monkeypatch.setattr(duplicates, "CELL", 2, raising=False)
+    got, want = against_sql(spark, tmp_path, name, [[k, t, f"src{k % 4}"] for k, t in enumerate(PAIRED)])
+    assert got == want and got
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_by_kind_make_no_pairs(spark, tmp_path):
+    against_sql(spark, tmp_path, "dup_by_kind", [[k, t, f"src{k % 4}"] for k, t in enumerate(PAIRED)])
+    assert "id#" not in "".join(line for line in plan_of(catalogue.queries()["dup_by_kind"](spark, str(tmp_path))).splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("name", ["dup_winner", "mirror_dups"])
+def test_pairs_are_not_shuffled(spark, tmp_path, name):
+    """Above the join that makes pairs there is no other join or aggregate."""
+    against_sql(spark, tmp_path, name, [[k, t, f"src{k % 4}"] for k, t in enumerate(PAIRED)])
+    top = [line.strip(" :+-") for line in plan_of(catalogue.queries()[name](spark, str(tmp_path))).splitlines()]
+    first = next(k for k, line in enumerate(top) if line.startswith(("Join", "Aggregate")))
+    assert "id" in top[first] and top[first].startswith("Join Inner") and "<" in top[first]
+
+
 def test_schema_pages(spark):
     pytest.importorskip("yaml")
     text = """
