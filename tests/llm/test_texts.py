@@ -231,3 +231,14 @@ def test_html_rows(spark):
     n = len(html_text.main_text(PAGE))
     assert [(r.page_id, r.url, r.n_chars) for r in rows] == [(1, "u", n), (1, "u", n), (None, None, 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_freed_memory_goes_back_before_new_is_kept(monkeypatch):
+    from textloom.llm import common
+
+    steps = []
+    monkeypatch.setattr(common, "_kept", {})
+    monkeypatch.setattr(common, "release", lambda: (steps.append("release"), common._kept.clear()))
+    for key in ("a", "a", "b"):
+        assert common.kept(key, lambda key=key: steps.append(key) or key) == key
+    assert steps == ["release", "a", "release", "b"] and list(common._kept) == ["b"]

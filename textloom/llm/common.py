@@ -107,7 +107,7 @@ _kept: dict = {}
 def kept(key, make):
     """What a worker process keeps over tasks: one thing at a time, so that stages of one application don't add up."""
     if key not in _kept:
-        _kept.clear()
+        release()  # before anything new is made: a worker keeps freed memory else, and stages of one application add up
         _kept[key] = make()
     return _kept[key]
 
