@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from textloom.llm import shingle_links, simhash
 
@@ -148,3 +149,20 @@ def test_group_of_partly_similar_copies(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     assert kept == sorted(set(plain_groups(rows)))
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_pairs_of_a_large_key_take_bounded_memory(alike):
+    """3,000 texts of one key have 4.5 million pairs; none of them is lost."""
+    import tracemalloc
+
+    n = 3000
+    one = {"key": np.zeros(n, np.int64), "th": np.arange(n, dtype=np.int64)[::-1], "size": np.full(n, 100, np.int32), "pos": np.zeros(n, np.int32), "root": np.arange(n, dtype=np.int64)}
+    if not alike:
+        one["pos"][: n // 2] = 50
+    tracemalloc.start()
+    found = sum(len(a) for a, b in shingle_links.pairs_met(one, False, 0.8) if (a < b).all())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    m = n if alike else n // 2
+    assert found == m * (m - 1) // 2 and peak < 80e6

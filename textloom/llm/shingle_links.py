@@ -196,9 +196,31 @@ def pivot_pairs(table: dict[str, np.ndarray], seed: int, pivots: int, similarity
             yield found[:, 0], found[:, 1]
 
 
-def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def once(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (the lesser first), each once among about `most` that are gathered."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for found in chain(pairs, [None]):
+        if found is not None and len(found[0]):
+            waiting.append((np.minimum(*found), np.maximum(*found)))
+        if waiting and (found is None or sum(len(a) for a, _ in waiting) >= most):
+            a, b = (np.concatenate(side) for side in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield a[new], b[new]
+
+
+def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of texts of one key that lie in different components and may reach the similarity; with `star` those with
-    the first text of the key only. `counts`, where given, has a row of counts by range (zero for none) a text."""
+    the first text of the key only. `counts`, where given, has a row of counts by range (zero for none) a text.
+
+    They are made and pruned a chunk at a time, so that a key of many texts takes no more memory than others."""
+    yield from once(_pairs_met(table, star, similarity, chunk))
+
+
+def _pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     order = np.lexsort((table["th"], table["root"], table["key"]))
     key, th, size, pos, root = (table[c][order] for c in ("key", "th", "size", "pos", "root"))
     counts = table["counts"][order] if "counts" in table else None
@@ -217,10 +239,7 @@ def pairs_met(table: dict[str, np.ndarray], star: bool, similarity: float, chunk
         b = np.repeat(np.arange(at, end), n)
         a = first[b] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         a, b = open_pairs(a, b, root, size, pos, counts, similarity)
-        a, b = th[a], th[b]
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        if len(found):
-            yield found[:, 0], found[:, 1]
+        yield th[a], th[b]
         at = end
 
 

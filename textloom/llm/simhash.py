@@ -258,7 +258,7 @@ class Forest:
         return self.nodes[own], self.nodes[self.root[own]]
 
 
-def probe(group: np.ndarray, query: np.ndarray, fps: np.ndarray, most: int, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def probe(group: np.ndarray, query: np.ndarray, fps: np.ndarray, most: int, chunk: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between index rows and probes that share a group number."""
     nodes, at = np.unique(fps, return_inverse=True)
     forest = Forest(nodes)
