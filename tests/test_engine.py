@@ -1,7 +1,9 @@
 """Operators on small relations, and the catalogue against its SQL."""
 
+import hashlib
 import json
 import math
+import re
 
 import duckdb
 import pytest
@@ -227,6 +229,44 @@ def test_chunks_of_long_sections(spark, tmp_path):
     assert got == want and len(got) == 4
 
 
+def cut_by_hand(text):
+    """(heading, body) of a page's units, a line at a time."""
+
+    def parts(lines, level):
+        out, fenced = [["", []]], False
+        for line in lines:
+            fenced ^= line.lstrip().startswith("```")
+            title = None if fenced else re.match(r"#{%d}\s+(.+?)\s*#*\s*$" % level, line)
+            out.append([title[1], []]) if title else out[-1][1].append(line)
+        return [(h, b) for h, b in out if h or "".join(b).strip()]
+
+    out = []
+    for head, body in parts(text.split("\n"), 2):
+        if head and len(re.findall("[a-z0-9]+", "\n".join(body).lower())) > 1200:
+            out += [(f"{head} / {sub}" if sub else head, "\n".join(b)) for sub, b in parts(body, 3)]
+        else:
+            out.append((head, "\n".join(body)))
+    return out or [("", text)]
+
+
+def marked_by_hand(text):
+    return "\n".join("```" if i % 11 == 7 else "## " + x if i % 4 == 1 else "### " + x if i % 4 == 3 else x for i, x in enumerate(text.split("\n")))
+
+
+def test_chunks_cut_long_sections_again(spark, tmp_path):
+    """Above 1200 tokens at third-level headings, outside fences, which are counted anew in a section; a blank page is a unit."""
+    word = lambda n: "word " * n
+    texts = [
+        f"Top\nHead\n{word(1300)}\nSub\nx y", "Top\nHead\nword\nSub\nx y", f"Top\nHead\n{word(1198)}\nSub\nx", f"Top\nHead\n{word(1199)}\nSub\nx", f"{word(1300)}\nHead\nx\nSub\nx",
+        "\n".join(["Top", "One", "x", "y", "z", "Two", word(1300), "fence", *(f"l{k}" for k in range(8, 19)), "Behind", "tail", "Three", "x"]), f"Top\nHead\n\nSub\n{word(1300)}\nNext\n{word(1300)}", "",
+    ]
+    got, want = against_sql(spark, tmp_path, "chunks", [[k, t, "src1"] for k, t in enumerate(texts)])
+    units = [(k, text.split("\n")[0], n, *cut) for k, text in enumerate(texts) for n, cut in enumerate(cut_by_hand(marked_by_hand(text)))]
+    hand = [(f"src1::docs/{k}.md#{n}", f"src1::docs/{k}.md", h, n, hashlib.sha256((f"{t}\n{h}\n\n{b}" if h else f"{t}\n\n{b}").encode()).hexdigest()) for k, t, n, h, b in units]
+    assert got == want == sorted(map(str, hand))
+    assert {"Head / Sub", "Two / Behind"} <= {h for *_, h, _ in units}
+
+
 #: Exact copies, one title over different texts, one set of shingles under different titles, near texts, and none.
 PAIRED = [
     "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\nquite another text",
