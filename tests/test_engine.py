@@ -267,6 +267,17 @@ def test_chunks_cut_long_sections_again(spark, tmp_path):
     assert {"Head / Sub", "Two / Behind"} <= {h for *_, h, _ in units}
 
 
+def test_chunks_of_odd_texts(spark, tmp_path):
+    """Line ends, white space that only one side takes as such, links and tags over lines, no text, no source."""
+    odd = [
+        "T\r\nHead\r\nx\r\n", "T\nHead\nx\n\n\n", "T\nHead\nx\ny\nz\n", "T\n \nx", "T\n  \n", "T\n\u00a0Head\u00a0\nx", "\u00a0", "\u3000\n \n\u00a0", " ", "\n", "", "T\n#\nx",
+        "[a\nHead\nb](c) <b\nd>\n![e](f)\nS [g](h) <br/>", "T\nHead\n\t```\nx\ny\nNext\nz", "T\nHead\n\u00a0```\nx\ny\nNext\nz", "T\nHead\n```\nx\ny\nNext\nz\n```\nu\nv", "T\x0bU\nHe\x85ad\u2028x\x0b\nx\x0b",
+        f"T\nHead\r\n{'word ' * 1300}\r\nSub\r\nx\n\n", f"T\nHead\n{'a.b ' * 400}\n\u00a0Sub\u00a0\nx", f"T\nHead\n{'a.b ' * 401}\n\nx\n", None,
+    ]
+    got, want = against_sql(spark, tmp_path, "chunks", [[k, t, "src1"] for k, t in enumerate(odd)] + [[99, "T\nHead\nx\nSub\ny\nNext", None]])
+    assert got == want and len(got) > len(odd)
+
+
 #: Exact copies, one title over different texts, one set of shingles under different titles, near texts, and none.
 PAIRED = [
     "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\n" + " ".join(f"w{i}" for i in range(60)), "Same title here\nquite another text",
